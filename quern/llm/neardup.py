@@ -14,7 +14,7 @@ from quern.operators.components import connected_components
 from quern.session import Scratch
 
 WORD = r"([\p{L}\p{N}]+)"
-SKETCH_BITS = 64
+SKETCH_BITS = 128
 
 
 def words(text: Column) -> Column:
@@ -71,11 +71,11 @@ def _signer(bands: int, rows: int, seed: int = 20240229):
     def sign(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = mix(flat.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
         keys = np.empty((len(starts), bands), np.uint64)
-        sketch, acc = np.zeros(len(starts), np.uint64), None
+        sketch, acc = np.zeros((SKETCH_BITS // 64, len(starts)), np.uint64), None
         for i in range(n):
             low = np.minimum.reduceat((x * a[i] + b[i]) >> np.uint64(32), starts)
             if i < SKETCH_BITS:
-                sketch |= (mix(low + a[i]) & np.uint64(1)) << np.uint64(i)
+                sketch[i // 64] |= (mix(low + a[i]) & np.uint64(1)) << np.uint64(i % 64)
             if i < bands * rows:
                 acc = low + np.uint64(i // rows) if i % rows == 0 else mix(acc ^ (low * a[i % rows]))
                 if i % rows == rows - 1:
@@ -92,8 +92,8 @@ def _signer(bands: int, rows: int, seed: int = 20240229):
                     flat = lists.flatten().to_numpy(zero_copy_only=False)
                     keys, sketch = sign(flat, np.r_[0, np.cumsum(sizes)[:-1]])
                     yield pa.RecordBatch.from_arrays([
-                        part.column("cid"), pa.array(sketch),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))], ["cid", "sketch", "keys"])
+                        part.column("cid"), pa.array(sketch[0]), pa.array(sketch[1]),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))], ["cid", "s1", "s2", "keys"])
 
     return run
 
@@ -121,10 +121,11 @@ class NearDuplicates:
     def candidates(self) -> DataFrame:
         """Distinct (a, b), a < b, of class ids that share a band and whose sketches do not rule them out."""
         signed = self.classes.select("cid", F.transform("tokens", lambda t: F.hash(t)).alias("tokens")).mapInArrow(
-            _signer(self.bands, self.rows), "cid bigint, sketch bigint, keys array<bigint>")
-        keyed = signed.select("cid", "sketch", F.explode("keys").alias("key"))
+            _signer(self.bands, self.rows), "cid bigint, s1 bigint, s2 bigint, keys array<bigint>")
+        keyed = signed.select("cid", "s1", "s2", F.explode("keys").alias("key"))
         a, b = keyed.alias("a"), keyed.alias("b")
-        near = F.lit(SKETCH_BITS) - F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) >= _sketch_floor(self.threshold)
+        apart = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
+        near = apart <= SKETCH_BITS - _sketch_floor(self.threshold)
         return a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") < F.col("b.cid")) & near).select(
             F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
 
