@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import neardup, topn
-from quern.sources.tables import table
+from quern.llm import abuse, neardup, spam, topn
+from quern.session import Scratch
+from quern.sources.tables import canonical_source, table
 
 
 # 2: near-duplicate events -------------------------------------------------------------------------------------------
@@ -45,7 +46,50 @@ def p4_ranked(spark, d):
     return _newest(spark, d, 10)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p2_document_groups, p4_found, p4_ranked)}
+# 5: abusive content -------------------------------------------------------------------------------------------------
+ABUSIVE = 0.5
+
+
+def _scored_deliveries(spark, d):
+    events = table(spark, d, "seed_events")
+    terms = abuse.lexicon_terms(table(spark, d, "abuse_lexicon"))
+    weights = abuse.fit_weights(events.select("id", "content"), table(spark, d, "abuse_labels"), terms)
+    return abuse.score_texts(events.select("id", "source", "content"), "content", terms, weights).select("id", "source", "abuse_score", "abuse_kind")
+
+
+def p5_found(spark, d):
+    return _scored_deliveries(spark, d).filter(F.col("abuse_score") >= ABUSIVE).filter("id is not null").select("id").distinct()
+
+
+def p5_scores(spark, d):
+    """The score and kind of every event, the worst of its deliveries."""
+    best = _scored_deliveries(spark, d).filter("id is not null").groupBy("id").agg(F.max(F.struct("abuse_score", "abuse_kind")).alias("b"))
+    return best.select("id", "b.abuse_score", "b.abuse_kind")
+
+
+def p5_source_rates(spark, d):
+    """For each relay, by its proper spelling, its distinct events and how many of them are abusive."""
+    s = _scored_deliveries(spark, d).filter("id is not null").withColumn("relay", canonical_source(F.col("source")))
+    each = s.groupBy("relay", "id").agg(F.max((F.col("abuse_score") >= ABUSIVE).cast("int")).alias("bad"))
+    return each.groupBy("relay").agg(F.count(F.lit(1)).alias("events"), F.sum("bad").alias("abusive")).withColumn("rate", F.col("abusive") / F.col("events"))
+
+
+# 8: keyword-stuffed and link-list pages -----------------------------------------------------------------------------
+def _pages(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return spam.spam_pages(docs, scratch=Scratch(spark), keep=["doc_id", "source"])
+
+
+def p8_found(spark, d):
+    return _pages(spark, d).filter("is_spam").select("doc_id")
+
+
+def p8_scores(spark, d):
+    """Features, distance and direction of every document."""
+    return _pages(spark, d).drop("source")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p2_document_groups, p4_found, p4_ranked, p5_found, p5_scores, p5_source_rates, p8_found, p8_scores)}
 
 _NEWEST = """
     WITH e AS (SELECT id, min(lev_id) AS lev_id, arg_min(pubkey, lev_id) AS pubkey, arg_min(kind, lev_id) AS kind, arg_min(created_at, lev_id) AS created_at
