@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import abuse, neardup, spam, topn
+from quern.llm import abuse, mixing, neardup, packing, spam, topn
+from quern.llm.tokens import VOCABULARY, token_count
 from quern.session import Scratch
 from quern.sources.tables import canonical_source, table
 
@@ -89,7 +90,64 @@ def p8_scores(spark, d):
     return _pages(spark, d).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p2_document_groups, p4_found, p4_ranked, p5_found, p5_scores, p5_source_rates, p8_found, p8_scores)}
+# 6: containers of each capacity -------------------------------------------------------------------------------------
+def _token_sizes(spark, d, *columns):
+    docs = table(spark, d, "documents").select("doc_id", *columns, token_count(F.col("text"), VOCABULARY).alias("n_tokens"))
+    return Scratch(spark).write(docs)
+
+
+def _packs(spark, d):
+    rows = table(spark, d, "pack_capacity").filter("capacity_tokens > 0").select("pack_name", "capacity_tokens").distinct().collect()
+    sized = _token_sizes(spark, d)
+    return [(r["pack_name"], r["capacity_tokens"], *packing.pack(sized, "doc_id", "n_tokens", r["capacity_tokens"])) for r in sorted(rows)]
+
+
+def p6_containers(spark, d):
+    """For each pack the container of every document, piece by piece where one is larger than the capacity."""
+    parts = [placed.select("doc_id", F.lit(name).alias("pack_name"), "piece", "start", "length", "container") for name, _, placed, _ in _packs(spark, d)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def p6_fill(spark, d):
+    """For each pack: containers, fewest any packing needs, tokens, and the share of space that is filled."""
+    rows = []
+    for name, capacity, _, plan in _packs(spark, d):
+        tokens = sum(k * sum(length * n for length, n in used.items()) for k, used in plan.fillings)
+        rows.append((name, capacity, plan.containers, plan.bound, tokens, tokens / (plan.containers * capacity) if plan.containers else None))
+    return spark.createDataFrame(rows, "pack_name string, capacity_tokens int, containers bigint, fewest bigint, tokens bigint, filled double")
+
+
+# 7: a mixture of sources --------------------------------------------------------------------------------------------
+def _mixed(spark, d):
+    targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, d, "mix_targets").filter("source is not null and target_share > 0").collect()]
+    spelt = F.regexp_replace(F.lower(F.trim("source")), "[- ]", "_")
+    sized = _token_sizes(spark, d, "text", spelt.alias("source"))
+    return targets, *mixing.mix(sized, "doc_id", "text", "source", "n_tokens", targets)
+
+
+def p7_selection(spark, d):
+    """The chosen documents, the source each counts for and its repeats."""
+    return _mixed(spark, d)[1]
+
+
+def p7_shares(spark, d):
+    """Target and reached share of each source."""
+    targets, chosen, _ = _mixed(spark, d)
+    got = chosen.groupBy("source").agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_repeats"))
+    want = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
+    total = chosen.agg(F.sum(F.col("repeats") * F.col("n_tokens"))).first()[0] or 0
+    tokens = F.coalesce("tokens", F.lit(0))
+    return want.join(got, "source", "left").select(
+        "source", "target_share", "max_repeats", tokens.alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), "most_repeats",
+        (tokens / F.lit(float(total)) if total else F.lit(0.0)).alias("actual_share"))
+
+
+QUERIES = {f.__name__: f for f in (
+    p2_found, p2_groups, p2_document_groups, p4_found, p4_ranked, p5_found, p5_scores, p5_source_rates, p6_containers, p6_fill, p7_selection, p7_shares,
+    p8_found, p8_scores)}
 
 _NEWEST = """
     WITH e AS (SELECT id, min(lev_id) AS lev_id, arg_min(pubkey, lev_id) AS pubkey, arg_min(kind, lev_id) AS kind, arg_min(created_at, lev_id) AS created_at
