@@ -33,11 +33,13 @@ def word_set(text: Column) -> Column:
 
 def shingle_set(text: Column, k: int = 5) -> Column:
     """Sorted distinct 64-bit hashes of the runs of ``k`` words; a shorter text is one shingle of all its words."""
-    def body(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k)))
-        return F.when(F.size(w) > 0, F.array_sort(F.array_distinct(runs))).otherwise(F.array().cast("array<bigint>"))
+    def body(h: Column) -> Column:
+        run = lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)])  # noqa: E731  (beyond the end: null, which adds nothing)
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))), run)
+        return F.when(F.size(h) > 0, F.array_sort(F.array_distinct(runs))).otherwise(F.array().cast("array<bigint>"))
 
-    return _let(words(text), body)
+    # words are hashed once, then runs of their hashes
+    return _let(F.transform(words(text), lambda w: F.xxhash64(w)), body)
 
 
 def choose_bands(threshold: float, recall: float, most: int = 64) -> tuple[int, int]:
