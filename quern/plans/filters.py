@@ -44,7 +44,7 @@ class Cursor:
 
     def after(self) -> Column:
         """Rows strictly behind the cursor. Fields beyond BIGINT are compared as decimals."""
-        big = lambda v: F.lit(v).cast("decimal(20,0)") if v >= 2**63 else F.lit(v)
+        big = lambda v: F.lit(str(v)).cast("decimal(20,0)") if v >= 2**63 else F.lit(v)
         ts, lev = big(self.created_at), big(self.lev_id)
         return (F.col("created_at") < ts) | ((F.col("created_at") == ts) & (F.col("lev_id") < lev))
 
@@ -95,7 +95,7 @@ def expired(now: int) -> Column:
     expires."""
     def due(t: Column) -> Column:
         text = F.get(t, F.lit(1))
-        when = F.when(text.rlike(r"^\+?[0-9]+$"), F.expr("1") * text.try_cast("decimal(20,0)"))
+        when = F.when(text.rlike(r"^\+?[0-9]+$"), text.try_cast("decimal(20,0)"))
         return F.coalesce((F.get(t, F.lit(0)) == "expiration") & (when != 0) & (when <= now), F.lit(False))
 
     return F.coalesce(F.exists("tags", due), F.lit(False))
