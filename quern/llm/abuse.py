@@ -109,7 +109,7 @@ class Lexicon:
             for w in words:
                 self.of[w] = mark
         # words that clauses name as such and that are worth unmasking
-        named = "human gueule fresse boca callate verrecke verreck morrer muere mueras creature alive yourself ditch shut halt cala creva crever kys spread".split()
+        named = "human gueule fresse boca callate verrecke verreck morrer muere mueras creature alive yourself ditch shut halt cala creva crever kys spread you your are should nobody".split()
         own = {"insult": "I_", "sexual": "X_", "hate": "I_"}
         for term, category in extra or []:
             w = plain(term).strip()

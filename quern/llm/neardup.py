@@ -46,7 +46,7 @@ def choose_bands(threshold: float, recall: float, most: int = 64) -> tuple[int,
     """(bands, rows): the most selective bands, at most ``most``, of which a pair at the threshold itself shares one
     with probability ``recall``; pairs above the threshold are found with a higher one."""
     for rows in range(40, 0, -1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
+        bands = math.ceil(math.log1p(-recall) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
         if bands <= most:
             return bands, rows
     raise ValueError("no banding reaches this recall")

@@ -27,6 +27,8 @@ MOST = 0.5
 
 #: so many links, mentions and tags at least make a list
 FEW_LINKS = 4
+#: fewer words than these string nothing together
+FEW_WORDS = 5
 
 FUNCTION_WORDS = frozenset("""
 the a an and or of to in on at for from with by is are was were be been that this these those it its as but not no than
@@ -129,8 +131,10 @@ def page_features(text: str | None) -> tuple[float, ...]:
             f * 6 >= n and not common or ended and n <= 16 and marks <= 3 and not common and n >= 2)
         outside += 0 if sentence else own
     # a few links beside sentences are no list of links
-    if n_links >= FEW_LINKS or outside + links >= solid:
+    if n_links >= FEW_LINKS or links and outside + links >= solid:
         outside += links
+    elif n_words < FEW_WORDS:
+        outside = 0
     narrow = 0.0
     if total >= 8:
         entropy = -sum(k / total * math.log(k / total) for k in content.values())
