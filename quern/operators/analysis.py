@@ -11,6 +11,7 @@ from quern.session import Scratch
 
 SANE_UNTIL = 4_102_444_800
 BURST_EVENTS, BURST_SECONDS, BIN_SECONDS = 5, 60, 3600
+SLICE_SECONDS = 21_600
 MANY_TAGS, MANY_MENTIONS, MANY_TOPICS, TOP = 20, 20, 15, 10
 
 
@@ -52,12 +53,20 @@ def rates(events: DataFrame, window_s: int = BURST_SECONDS, least: int = BURST_E
     """For each author: sane and rejected times, tightest gap, and whether ``least`` events lie within ``window_s``
     seconds. Authors with fewer than two sane times have no gap and no burst.
 
-    ``least`` events lie within a window if the event ``least - 1`` places on is at most ``window_s`` later, so one sort
-    by time answers gap and burst; an author is sorted, never gathered."""
-    w = Window.partitionBy("pubkey").orderBy("created_at", "lev_id")
-    sane = events.filter(sane_time() & F.col("pubkey").isNotNull()).select("pubkey", "created_at", "lev_id").select(
-        "pubkey", (F.col("created_at") - F.lag("created_at").over(w)).alias("gap"), (F.col("created_at") - F.lag("created_at", least - 1).over(w)).alias("span"))
-    good = sane.groupBy("pubkey").agg(F.count(F.lit(1)).alias("analyzed"), F.min("gap").alias("tightest_gap"), F.max(F.col("span") <= window_s).alias("b"))
+    ``least`` events lie within a window if the event ``least - 1`` places on is at most ``window_s`` later. Time is cut
+    into slices longer than the window, and each event joins its slice and the one before, so that a busy author is
+    sorted slice by slice; gaps longer than a slice come from the first and last times of the slices."""
+    slice_s = max(SLICE_SECONDS, window_s + 1)
+    sane = events.filter(sane_time() & F.col("pubkey").isNotNull()).select("pubkey", "created_at", "lev_id")
+    home = F.floor(F.col("created_at") / slice_s)
+    copies = sane.select("pubkey", "created_at", "lev_id", home.alias("home"), F.explode(F.array(home, home - 1)).alias("slice"))
+    w = Window.partitionBy("pubkey", "slice").orderBy("created_at", "lev_id")
+    t = F.col("created_at")
+    near = copies.select("pubkey", "slice", "home", "created_at", (t - F.lag(t).over(w)).alias("gap"), (t - F.lag(t, least - 1).over(w)).alias("span"))
+    own = F.when(F.col("home") == F.col("slice"), t)
+    slices = near.groupBy("pubkey", "slice").agg(F.min("gap").alias("gap"), F.max(F.col("span") <= window_s).alias("b"), F.count(own).alias("n"), F.min(own).alias("lo"), F.max(own).alias("hi"))
+    far = F.col("lo") - F.max("hi").over(Window.partitionBy("pubkey").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    good = slices.withColumn("far", far).groupBy("pubkey").agg(F.sum("n").alias("analyzed"), F.min(F.least("gap", "far")).alias("tightest_gap"), F.max("b").alias("b"))
     every = events.filter("pubkey is not null").groupBy("pubkey").agg(F.count_if(~sane_time()).alias("rejected"))
     return every.join(good, "pubkey", "left").select(
         "pubkey", F.coalesce("analyzed", F.lit(0)).alias("analyzed"), "rejected", "tightest_gap", F.coalesce(F.col("b"), F.lit(False)).alias("burst"))

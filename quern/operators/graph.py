@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ranking import global_rank
 from quern.session import Scratch
 
 # crawl schedule, in seconds: fixed values
@@ -221,13 +222,9 @@ def remove_nodes(edges: DataFrame, nodes: DataFrame, gone: DataFrame) -> tuple[D
 def dense_index(edges: DataFrame) -> DataFrame:
     """(node, idx): 0, 1, ... in the order of first appearance, a source before its targets. ``edges`` has ``ord``.
 
-    Positions come from counts of buckets of first appearances, so no single task sorts all nodes."""
+    Numbered range by range, so no single task sorts all nodes."""
     first = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), (F.col("ord") * 2).alias("at")), F.struct(F.col("dst").alias("node"), (F.col("ord") * 2 + 1).alias("at")))).alias("e")).select("e.*").groupBy("node").agg(F.min("at").alias("at"))
-    cut = first.withColumn("bucket", F.shiftright("at", 16))
-    before = cut.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))  # a row for 65536 places
-    inside = F.row_number().over(Window.partitionBy("bucket").orderBy("at")) - 1
-    return cut.withColumn("inside", inside).join(before, "bucket").select("node", (F.col("before") + F.col("inside")).alias("idx"))
+    return global_rank(first, ["at"]).select("node", (F.col("idx") - 1).alias("idx"))
 
 
 def nested_neighbours(edges: DataFrame, roots: DataFrame, a: int, b: int) -> DataFrame:

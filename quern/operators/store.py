@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import fnv1a64, unsigned_hex
+from quern.operators.ranking import group_rank
 from quern.schema import STORE
 
 
@@ -94,12 +95,10 @@ class Store:
 def ranked_suspects(scores: DataFrame, threshold: float) -> DataFrame:
     """Scores strictly above the threshold ranked within their run, ties by key.
 
-    Ranks come from counts of score buckets and a rank within each, so no single task sorts a run."""
-    s = scores.filter(F.col("score") > threshold).withColumn("b", F.floor((1 - F.col("score")) * 4096).cast("int"))
-    before = s.groupBy("run_id", "b").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("run_id", "b", (F.sum("n").over(Window.partitionBy("run_id").orderBy("b")) - F.col("n")).alias("before"))
-    w = Window.partitionBy("run_id", "b").orderBy(F.desc("score"), "pubkey")
-    return s.withColumn("i", F.row_number().over(w)).join(before, ["run_id", "b"]).select("run_id", "pubkey", "score", (F.col("before") + F.col("i")).alias("rank"))
+    Scores are cut into buckets, so no single task sorts a run."""
+    s = scores.filter(F.col("score") > threshold)
+    bucket = F.floor((1 - F.col("score")) * 4096).cast("int")
+    return group_rank(s, ["run_id"], bucket, [F.desc("score"), "pubkey"], "rank").select("run_id", "pubkey", "score", "rank")
 
 
 def review_sample(scores: DataFrame, n: int) -> DataFrame:

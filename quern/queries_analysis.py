@@ -73,13 +73,11 @@ def fn_hosts(spark, d):
 
 
 def fn_jaccard(spark, d):
-    """Similarity of each delivered event with the author's next one, on sets of words."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("pubkey").orderBy("lev_id")
+    """Similarity of each note with the author's first one, on sets of words."""
     words = F.array_distinct(F.split(F.lower("content"), " "))
     e = event_log(spark, d).filter("kind = 1 and content is not null and pubkey is not null").select("lev_id", "pubkey", words.alias("a"))
-    return e.withColumn("b", F.lead("a").over(w)).filter("b is not null").select("lev_id", F.round(X.jaccard(F.col("a"), F.col("b")), 6).alias("j"))
+    first = e.groupBy("pubkey").agg(F.min_by("a", "lev_id").alias("b"))
+    return e.join(first, "pubkey").select("lev_id", F.round(X.jaccard(F.col("a"), F.col("b")), 6).alias("j"))
 
 
 def fn_entropy(spark, d):
@@ -174,9 +172,9 @@ ORACLE = {
     "an_metadata": "SELECT pubkey, count(*) AS n, min(created_at) AS oldest, max(created_at) AS newest FROM seed_events WHERE pubkey IS NOT NULL GROUP BY pubkey",
     "fn_collapse": r"SELECT lev_id, trim(regexp_replace(lower(content), '[\s\p{Z}]+', ' ', 'g')) AS t FROM seed_events WHERE content IS NOT NULL",
     "fn_hosts": f"SELECT lower(host) AS host, count(*) AS n FROM (SELECT {HOST} AS host FROM (SELECT unnest(regexp_split_to_array(content, '[\\s\\p{{Z}}]+')) AS tok FROM seed_events)) WHERE host <> '' GROUP BY 1",
-    "fn_jaccard": """WITH e AS (SELECT lev_id, list_distinct(string_split(lower(content), ' ')) AS a, lead(list_distinct(string_split(lower(content), ' '))) OVER (PARTITION BY pubkey ORDER BY lev_id) AS b
-        FROM seed_events WHERE kind = 1 AND content IS NOT NULL AND pubkey IS NOT NULL)
-        SELECT lev_id, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS j FROM e WHERE b IS NOT NULL""",
+    "fn_jaccard": """WITH e AS (SELECT lev_id, pubkey, list_distinct(string_split(lower(content), ' ')) AS a FROM seed_events WHERE kind = 1 AND content IS NOT NULL AND pubkey IS NOT NULL),
+        f AS (SELECT pubkey, arg_min(a, lev_id) AS b FROM e GROUP BY 1)
+        SELECT lev_id, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS j FROM e JOIN f ON e.pubkey = f.pubkey""",
     "fn_entropy": """WITH e AS (SELECT DISTINCT content FROM seed_events WHERE content <> ''),
         c AS (SELECT content, ch, count(*) AS k FROM (SELECT content, unnest(list_transform(range(1, length(content) + 1), lambda i: array_extract(content, i))) AS ch FROM e) GROUP BY 1, 2)
         SELECT md5(content) AS m, round(log2(sum(k)) - sum(k * log2(k)) / sum(k), 6) AS h FROM c GROUP BY content""",

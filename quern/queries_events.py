@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import events as E
+from quern.operators.ranking import group_rank
 from quern.plans.filters import Cursor, EventFilter, compile_filter, expired
 from quern.sources.tables import HEX64, canonical_source, event_log
 
@@ -104,10 +104,10 @@ def ev_scan_reverse(spark, d):
 
 
 def ev_scan_author_order(spark, d):
-    """Position of every event of an author in the order (author, kind, time)."""
-    w = Window.partitionBy("pubkey").orderBy("kind", "created_at", "lev_id")
-    log = event_log(spark, d).filter("pubkey is not null and kind is not null and created_at is not null")
-    return log.filter(F.col("pubkey") != AUTHOR).select("lev_id", F.row_number().over(w).alias("pos"))
+    """Position of every event of an author in the order (author, kind, time); a month of a kind is sorted at a time."""
+    log = event_log(spark, d).filter("pubkey is not null and kind is not null and created_at is not null").select("lev_id", "pubkey", "kind", "created_at")
+    bucket = F.struct("kind", F.floor(F.col("created_at") / 2_592_000))
+    return group_rank(log, ["pubkey"], bucket, ["kind", "created_at", "lev_id"]).select("lev_id", "pos")
 
 
 def _wanted(log):
@@ -193,8 +193,8 @@ ORACLE = {
     "ev_scan_kind_order": """SELECT lev_id, kind, created_at FROM seed_events WHERE kind IS NOT NULL AND created_at IS NOT NULL
         AND (kind > 255 OR kind = 255 AND created_at >= 0) ORDER BY kind, created_at, lev_id LIMIT 300""",
     "ev_scan_reverse": f"SELECT lev_id, created_at FROM seed_events WHERE created_at <= {UNTIL} ORDER BY created_at DESC, lev_id DESC LIMIT 300",
-    "ev_scan_author_order": f"""SELECT lev_id, CAST(row_number() OVER (PARTITION BY pubkey ORDER BY kind, created_at, lev_id) AS INTEGER) AS pos FROM seed_events
-        WHERE pubkey <> '{AUTHOR}' AND kind IS NOT NULL AND created_at IS NOT NULL""",
+    "ev_scan_author_order": """SELECT lev_id, row_number() OVER (PARTITION BY pubkey ORDER BY kind, created_at, lev_id) AS pos FROM seed_events
+        WHERE pubkey IS NOT NULL AND kind IS NOT NULL AND created_at IS NOT NULL""",
     "ev_lookup": "SELECT lev_id, id, kind FROM seed_events WHERE kind = 6",
     "ev_missing": "SELECT CAST(-1 AS BIGINT) AS lev_id",
     "ev_by_author": f"""WITH w AS (SELECT pubkey, min(lev_id) AS ord FROM seed_events WHERE kind = 0 AND pubkey IS NOT NULL GROUP BY pubkey),

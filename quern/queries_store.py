@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import keys, scalars
 from quern.functions.text import fnv1a64, unsigned_hex
 from quern.operators import events as E
 from quern.operators import gate, graph, layers, store, tune
+from quern.operators.ranking import group_rank
 from quern.queries_analysis import HOST, WINDOW100, allowed_of, window_of
 from quern.queries_graph import _E, _P
 from quern.session import Scratch
@@ -102,8 +102,8 @@ def gt_rescue(spark, d):
     order of replay."""
     held = gate.route(event_log(spark, d), allowed_of(spark, d)).filter("held")
     back, _ = gate.rescue(held, effective_profiles(spark, d).select("pubkey"))
-    w = Window.partitionBy("pubkey").orderBy("created_at", "lev_id")
-    return back.select("pubkey", "lev_id", F.row_number().over(w).alias("turn"))
+    bucket = F.floor(F.coalesce("created_at", F.lit(-1)) / 2_592_000)
+    return group_rank(back.select("pubkey", "lev_id", "created_at"), ["pubkey"], bucket, ["created_at", "lev_id"], "turn").select("pubkey", "lev_id", "turn")
 
 
 def gt_rescue_summary(spark, d):
@@ -228,7 +228,7 @@ ORACLE = {
     "gt_rejected": f"{_ALLOWED} SELECT pubkey, count(*) AS n FROM seed_events WHERE coalesce(pubkey, '') NOT IN (SELECT pubkey FROM a) GROUP BY 1",
     "gt_route": f"{_ALLOWED}, {_ROUTE} SELECT action, reason, held, cause, count(*) AS n FROM r GROUP BY ALL",
     "gt_bulk_check": f"{_ALLOWED} SELECT DISTINCT pubkey, pubkey IN (SELECT pubkey FROM a) AS allowed FROM seed_events WHERE pubkey IS NOT NULL",
-    "gt_rescue": f"{_ALLOWED}, {_ROUTE} SELECT pubkey, lev_id, CAST(row_number() OVER (PARTITION BY pubkey ORDER BY created_at NULLS FIRST, lev_id) AS INTEGER) AS turn FROM r WHERE held AND pubkey IN (SELECT pubkey FROM p WHERE pubkey IS NOT NULL)",
+    "gt_rescue": f"{_ALLOWED}, {_ROUTE} SELECT pubkey, lev_id, row_number() OVER (PARTITION BY pubkey ORDER BY created_at NULLS FIRST, lev_id) AS turn FROM r WHERE held AND pubkey IN (SELECT pubkey FROM p WHERE pubkey IS NOT NULL)",
     "gt_rescue_summary": f"""{_ALLOWED}, {_ROUTE} SELECT count(*) AS events, count(DISTINCT pubkey) AS authors, count(*) FILTER (WHERE x) AS rescued, count(DISTINCT CASE WHEN x THEN pubkey END) AS rescued_authors
         FROM (SELECT pubkey, pubkey IN (SELECT pubkey FROM p WHERE pubkey IS NOT NULL) AS x FROM r WHERE held)""",
     "io_jsonl_round_trip": """WITH e AS (SELECT * FROM seed_events QUALIFY row_number() OVER (PARTITION BY id ORDER BY lev_id) = 1)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.ranking import global_rank
 from quern.schema import EVENT
 
 MOST_LINE = 1024 * 1024
@@ -22,13 +23,9 @@ def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def assign_lev_ids(events: DataFrame, start: int = 1) -> DataFrame:
-    """``lev_id`` in the order (created_at, id), to be stored once at ingest. Numbers come from counts of time buckets
-    and a rank within each, so no task sorts the whole log."""
-    e = events.withColumn("_b", F.shiftright(F.coalesce("created_at", F.lit(-1)), 12))
-    before = e.groupBy("_b").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("_b", (F.sum("n").over(Window.orderBy("_b")) - F.col("n")).alias("_before"))  # a row for 4096 seconds
-    w = Window.partitionBy("_b").orderBy("created_at", "id")
-    return e.withColumn("_i", F.row_number().over(w)).join(before, "_b").withColumn("lev_id", F.col("_before") + F.col("_i") + (start - 1)).drop("_b", "_i", "_before")
+    """``lev_id`` in the order (created_at, id), to be stored once at ingest."""
+    numbered = global_rank(events.withColumn("_t", F.coalesce("created_at", F.lit(-1))), ["_t", "id"], "lev_id")
+    return numbered.withColumn("lev_id", F.col("lev_id") + (start - 1)).drop("_t")
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None, one_file: bool = False) -> None:
