@@ -287,6 +287,8 @@ _CLAUSES: list[tuple[str, str, str, str]] = [
 ]
 #: weight of a pattern before verdicts are seen, and of how many verdicts that belief is worth
 PRIOR, PRIOR_N = {"insult": 0.85, "threat": 0.85, "hate": 0.85, "sexual": 0.85}, 8.0
+#: how far, in characters of the rewritten text, the context of a clause is looked at within its sentence
+CONTEXT = 600
 _REPORT_BEFORE = re.compile(r"(?:R_|words? like|terms? like|why is) (?:[^\s|]+ ){0,6}$")
 _REPORT_AFTER = re.compile(r'^ ?(?:[^\s|]+ ){0,3}?(?:" )?(?:[^\s|]+ ){0,2}R_|^ ?" (?:[^\s|]+ ){0,3}')
 _SELF = re.compile(r"(?:^|\| |, )(?:i|me|my|myself) (?:felt|feel|am|was|look|looked|sound) (?:[^\s|]+ ){0,3}$")
@@ -317,7 +319,7 @@ class Grammar:
             for name, pattern in self.by_anchor[anchor]:
                 for m in pattern.finditer(line):
                     at = line.rfind("|", 0, m.start()) + 1
-                    before, after = line[at:m.start()].lstrip(), line[m.end():].lstrip()
+                    before, after = line[max(at, m.start() - CONTEXT):m.start()].lstrip(), line[m.end():m.end() + CONTEXT].lstrip()
                     quoted = before.count('"') % 2 == 1
                     mention = bool(_REPORT_BEFORE.search(before) or _SELF.search(before) or _DENIED.search(before)) or quoted and ("R_" in before or "R_" in after.partition("|")[0])
                     mention = mention or bool(quoted and re.match(r'" ', after))
