@@ -103,3 +103,14 @@ def distinct_events(events: DataFrame) -> DataFrame:
     """One row an event id: its first delivery."""
     row = F.struct("lev_id", *[F.col(c) for c in events.columns if c not in ("id", "lev_id")])
     return events.filter("id is not null").groupBy("id").agg(F.min_by(row, "lev_id").alias("r")).select("id", "r.*")
+
+
+def newest_replaceable(events: DataFrame, kind: int) -> DataFrame:
+    """The newest record of each (author, ``d`` tag) of a kind that replaces itself; no tag counts as the empty one."""
+    d = F.coalesce(F.get(F.get(F.filter("tags", lambda t: F.coalesce((F.get(t, F.lit(0)) == "d") & (F.size(t) >= 2), F.lit(False))), F.lit(0)), F.lit(1)), F.lit(""))
+    rows = events.filter((F.col("kind") == kind) & F.col("pubkey").isNotNull() & F.col("created_at").isNotNull()).withColumn("d", d)
+    return rows.groupBy("pubkey", "d").agg(F.max_by(F.struct("lev_id", "created_at"), F.struct("created_at", "lev_id")).alias("r")).select("pubkey", "d", "r.*")
+
+
+def delete_ids(events: DataFrame, gone: DataFrame) -> DataFrame:
+    return events.join(gone.select("id").distinct(), "id", "left_anti")

@@ -75,6 +75,19 @@ def mutual(edges: DataFrame) -> DataFrame:
     return pair.filter("n = 2").select("a", "b")
 
 
+def resolve_seed(profiles: DataFrame, pubkey: str):
+    """The node of a key; an error if there is none."""
+    row = profiles.filter(F.col("pubkey") == pubkey).agg(F.min("uid")).first()
+    if row[0] is None:
+        raise LookupError(f"no profile has the key {pubkey}")
+    return row[0]
+
+
+def flatten(nested: DataFrame) -> DataFrame:
+    """Edges of ``nested(uid, follows: array<struct<uid>>)``; nodes without follows give none."""
+    return nested.select(F.col("uid").alias("src"), F.explode("follows").alias("f")).select("src", F.col("f.uid").alias("dst")).filter("dst is not null")
+
+
 # -- levels -----------------------------------------------------------------------------------------------------------
 def levels(edges: DataFrame, seed, most: int = 0, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """((node, level), explored edges): hops from ``seed``, the shortest counts; ``most`` levels, 0 for all. Edges are

@@ -121,9 +121,12 @@ def combine(wide: DataFrame, weights: dict[str, float] | None = None) -> DataFra
     return wide.withColumn("score", X.sigmoid(z)).withColumn("suspected", (F.col("score") > w["_threshold"]).cast("int"))
 
 
-def signals(window: DataFrame, allowed: DataFrame) -> DataFrame:
-    authors = window.select("pubkey").distinct()
-    out = allow_layer(authors, allowed)
-    for layer in (duplicate_layer, entropy_layer, link_layer):
+#: a layer turns an author window into (pubkey, layer, value, evidence); further ones may be passed to ``signals``
+WINDOW_LAYERS = (duplicate_layer, entropy_layer, link_layer)
+
+
+def signals(window: DataFrame, allowed: DataFrame, window_layers=WINDOW_LAYERS) -> DataFrame:
+    out = allow_layer(window.select("pubkey").distinct(), allowed)
+    for layer in window_layers:
         out = out.unionByName(layer(window))
     return out

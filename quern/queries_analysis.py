@@ -160,7 +160,14 @@ def _top_sql(name: str) -> str:
 
 HOST = r"regexp_extract(tok, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@\s]+)', 1)"
 
+FNV = ("printf('%016x', CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split({}, ''), lambda c: ord(c)::HUGEINT)), "
+       "lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS UBIGINT))")
+
 ORACLE = {
+    "fn_fnv": f"SELECT lev_id, {FNV.format('id')} AS h FROM seed_events",
+    "layer_top_hosts": f"""WITH {WINDOW100}, h AS (SELECT DISTINCT pubkey, lev_id, lower({HOST}) AS host FROM (SELECT pubkey, lev_id, unnest(regexp_split_to_array(coalesce(content, ''), '[\\s\\p{{Z}}]+')) AS tok FROM w) WHERE {HOST} <> ''),
+        k AS (SELECT pubkey, host, count(*) AS k FROM h GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY pubkey ORDER BY k DESC, host) = 1)
+        SELECT DISTINCT w.pubkey, coalesce(host, '') AS host FROM w LEFT JOIN k ON k.pubkey = w.pubkey""",
     "an_kinds": "SELECT kind, count(*) AS n FROM seed_events WHERE kind BETWEEN 0 AND 9007199254740991 GROUP BY kind",
     "an_tag_summary": f"""{_TAGS}, e AS (SELECT pubkey, lev_id, count(*) FILTER (WHERE bad) AS malformed, count(*) FILTER (WHERE NOT bad) AS tags, count(*) FILTER (WHERE name = 'e' AND NOT bad) AS refs,
         count(*) FILTER (WHERE name = 'p' AND NOT bad) AS p, count(*) FILTER (WHERE name = 't' AND NOT bad) AS t FROM m GROUP BY pubkey, lev_id)

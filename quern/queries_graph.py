@@ -325,4 +325,8 @@ ORACLE = {
     "gr_invalid_keys": f"WITH {_P} SELECT uid FROM p WHERE pubkey IS NULL OR NOT regexp_full_match(pubkey, '[0-9a-f]{{64}}')",
     "gr_profile_authors": f"WITH {_P} SELECT uid, events FROM p JOIN (SELECT pubkey, count(*) AS events FROM seed_events GROUP BY 1) l ON l.pubkey = p.pubkey",
 }
+ORACLE["gr_keep_best"] = """SELECT CAST(rank AS INTEGER) AS rank, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY pubkey ORDER BY kind3createdat DESC NULLS LAST, last_db_update DESC NULLS LAST, CAST(uid AS VARCHAR)) AS rank
+    FROM profile_snapshot WHERE snapshot_no = 4 AND pubkey IN (SELECT pubkey FROM profile_snapshot WHERE snapshot_no = 4 AND pubkey IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) GROUP BY 1"""
+ORACLE["gr_components"] = f"""WITH RECURSIVE {_P}, {_E}, m AS (SELECT x.src AS a, x.dst AS b FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src WHERE x.src <> x.dst),
+    r AS (SELECT a AS node, a AS other FROM m UNION SELECT r.node, m.b FROM r JOIN m ON m.a = r.other) SELECT node, min(other) AS component FROM r GROUP BY 1"""
 ORACLE["gr_upsert"] = ORACLE["gr_list_edges"]

@@ -9,7 +9,7 @@ from quern.functions.text import fnv1a64, unsigned_hex
 from quern.operators import events as E
 from quern.operators import gate, graph, layers, store, tune
 from quern.operators.ranking import group_rank
-from quern.queries_analysis import HOST, WINDOW100, allowed_of, window_of
+from quern.queries_analysis import FNV, HOST, WINDOW100, allowed_of, window_of
 from quern.queries_graph import _E, _P
 from quern.session import Scratch
 from quern.sources import frames, jsonl, payloads
@@ -251,4 +251,7 @@ ORACLE = {
     "fn_identifiers": "SELECT DISTINCT pubkey, CAST(3 AS BIGINT) AS n FROM seed_events WHERE pubkey IS NOT NULL",
     "fn_backoff": f"WITH {_P} SELECT uid, CAST(least(7200 * pow(2, coalesce(miss_count, 0)), 604800) AS BIGINT) AS wait FROM p",
     "fn_last_tag": """SELECT lev_id, p, coalesce(regexp_full_match(lower(p), '[0-9a-f]{64}'), false) AS is_key FROM (SELECT lev_id, list_filter(coalesce(tags, []), lambda t: len(t) >= 2 AND t[1] = 'p')[-1][2] AS p FROM seed_events) WHERE p IS NOT NULL""",
+    "gt_bloom": f"{_ALLOWED} SELECT DISTINCT pubkey FROM seed_events WHERE pubkey IN (SELECT pubkey FROM a)",
+    "fn_review_hash": f"SELECT pubkey, {FNV.format('pubkey')} AS h FROM (SELECT DISTINCT pubkey FROM seed_events WHERE pubkey IS NOT NULL)",
+    "st_review_sample": f"WITH {_LINKS} SELECT CAST(1 AS BIGINT) AS run_id, pubkey, round(score, 9) AS score FROM sc WHERE NOT score > 0.5 ORDER BY {FNV.format('pubkey')}, pubkey LIMIT 100",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern import queries_analysis, queries_core_problems, queries_events, queries_graph, queries_store, queries_streaming
+from quern import queries_analysis, queries_core_problems, queries_events, queries_graph, queries_items, queries_store, queries_streaming
 
-MODULES = [queries_events, queries_analysis, queries_graph, queries_store, queries_streaming, queries_core_problems]
+MODULES = [queries_events, queries_analysis, queries_graph, queries_store, queries_items, queries_streaming, queries_core_problems]
 
 
 def queries() -> dict:

@@ -74,7 +74,8 @@ def export_frame(nodes: DataFrame, edges: DataFrame) -> GraphFrame:
 
 @dataclass
 class Bloom:
-    """A Bloom filter over keys; positions are (h1 + i * h2) mod bits of two 64-bit hashes of the key."""
+    """A Bloom filter over keys; position i is a 64-bit hash of (i, key) mod bits. (Steps of a second
+    hash are cheaper, but in a small filter they share factors with its size and let far too many keys through.)"""
 
     bits: int
     hashes: int
@@ -88,9 +89,7 @@ class Bloom:
 
     @staticmethod
     def positions(key, bits: int, hashes: int):
-        h1, h2 = F.xxhash64(F.lower(key)), F.xxhash64(F.lit(1), F.lower(key))
-        part = lambda h: F.pmod(h, F.lit(bits))
-        return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(part(h1) + i.cast("bigint") * part(h2), F.lit(bits)))
+        return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(F.xxhash64(i, F.lower(key)), F.lit(bits)))
 
     @staticmethod
     def build(keys: DataFrame, column: str, rate: float = 1e-6) -> Bloom:
