@@ -117,3 +117,10 @@ def triage(window: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     no = F.lit(False)
     return meta.join(burst, "pubkey", "left").join(dup, "pubkey", "left").join(fan, "pubkey", "left").select(
         "pubkey", F.col("n").alias("event_count"), F.coalesce("burst", no).alias("burst"), F.coalesce("dup", no).alias("near_dup"), F.coalesce("fan", no).alias("tag_fan_out"))
+
+
+def ranked_triage(table: DataFrame, column: str, descending: bool = True) -> DataFrame:
+    """The triage table by any of its columns, either way; ties by key."""
+    if column not in table.columns:
+        raise ValueError(f"no column {column}")
+    return table.orderBy(F.desc_nulls_last(column) if descending else F.asc_nulls_last(column), "pubkey")

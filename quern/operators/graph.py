@@ -316,3 +316,13 @@ def keep_best(profiles: DataFrame) -> DataFrame:
     w = Window.partitionBy("pubkey").orderBy(F.desc_nulls_last("kind3createdat"), F.desc_nulls_last("last_db_update"), F.col("uid").cast("string"))
     many = profiles.groupBy("pubkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and pubkey is not null").select("pubkey")
     return profiles.join(many, "pubkey", "left_semi").withColumn("rank", F.row_number().over(w))
+
+
+def sampled_nodes(nodes: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """``n`` nodes by seeded hash: the same whatever the partitions."""
+    return nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(n)
+
+
+def purge_invalid(profiles: DataFrame) -> DataFrame:
+    """Profiles with a well-formed key; upper case is folded first."""
+    return profiles.withColumn("pubkey", F.lower(F.trim("pubkey"))).filter(F.col("pubkey").rlike("^[0-9a-f]{64}$"))

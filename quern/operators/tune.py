@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.layers import LAYERS, WEIGHTS, combine
+from quern.session import Scratch
 
 
 def labelled(labels: DataFrame, signals: DataFrame, run_id: int | None = None) -> DataFrame:
@@ -37,7 +38,7 @@ def tune(labels: DataFrame, signals: DataFrame, current: dict[str, float] | None
     """('adopted', new weights), or ('blocked: reason', unchanged weights): no labels, one class only, or any label that
     the new weights get wrong."""
     current = WEIGHTS | (current or {})
-    rows = labelled(labels, signals, run_id)
+    rows = Scratch(labels.sparkSession).write(labelled(labels, signals, run_id))  # read by every iteration of the fit
     spam, ham = rows.agg(F.count_if(F.col("is_spam") == 1), F.count_if(F.col("is_spam") == 0)).first()
     if not spam + ham:
         return "blocked: no labels", current

@@ -8,6 +8,7 @@ from quern.functions import text as X
 from quern.operators import analysis as A
 from quern.operators import events as E
 from quern.operators import layers as L
+from quern.session import Scratch
 from quern.sources.tables import event_log
 
 WIDE = 86_400
@@ -18,6 +19,11 @@ def window_of(spark, d, per_author: int = 100):
     return E.latest_per_author(event_log(spark, d), 1, per_author)
 
 
+def stored_window(spark, d):
+    """The same, written once for what reads it several times."""
+    return Scratch(spark).write(window_of(spark, d).select("lev_id", "pubkey", "created_at", "kind", "tags", "content"))
+
+
 def an_kinds(spark, d):
     return A.kind_histogram(event_log(spark, d))
 
@@ -55,7 +61,7 @@ def an_duplicates(spark, d):
 
 
 def an_triage(spark, d):
-    return A.triage(window_of(spark, d))
+    return A.triage(stored_window(spark, d))
 
 
 def fn_collapse(spark, d):
@@ -130,7 +136,7 @@ def layer_allow(spark, d):
 
 def scores(spark, d):
     """Signals of all layers, pivoted and combined."""
-    wide = L.pivot_signals(L.signals(window_of(spark, d), allowed_of(spark, d)))
+    wide = L.pivot_signals(L.signals(stored_window(spark, d), allowed_of(spark, d)))
     return L.combine(wide)
 
 

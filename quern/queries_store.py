@@ -9,7 +9,7 @@ from quern.functions.text import fnv1a64, unsigned_hex
 from quern.operators import events as E
 from quern.operators import gate, graph, layers, store, tune
 from quern.operators.ranking import group_rank
-from quern.queries_analysis import FNV, HOST, WINDOW100, allowed_of, window_of
+from quern.queries_analysis import FNV, HOST, WINDOW100, allowed_of, stored_window, window_of
 from quern.queries_graph import _E, _P
 from quern.session import Scratch
 from quern.sources import frames, jsonl, payloads
@@ -37,7 +37,7 @@ def st_export(spark, d):
     s = store.Store(spark, Scratch(spark).base + "/store")
     weights = s.weights(layers.WEIGHTS | {"_threshold": 0.1})
     s.begin_run(RUN, 1_700_000_000, 1, weights)
-    signals = layers.signals(window_of(spark, d), allowed_of(spark, d)).withColumn("run_id", F.lit(RUN).cast("bigint"))
+    signals = layers.signals(stored_window(spark, d), allowed_of(spark, d)).withColumn("run_id", F.lit(RUN).cast("bigint"))
     s.write_run("signal", signals)
     wide = layers.combine(layers.pivot_signals(s.read("signal")), weights)
     s.write_run("score", wide.select(F.lit(RUN).cast("bigint").alias("run_id"), "pubkey", "score", "suspected", (F.col("L0_whitelist") == 0).cast("int").alias("whitelisted")))
@@ -75,7 +75,7 @@ def st_labelled_signals(spark, d):
 
 def st_tune(spark, d):
     """The gate's verdict on a fit to all labels, and its weights."""
-    verdict, weights = tune.tune(author_labels(spark, d), layers.signals(window_of(spark, d), allowed_of(spark, d)))
+    verdict, weights = tune.tune(author_labels(spark, d), layers.signals(stored_window(spark, d), allowed_of(spark, d)))
     return spark.createDataFrame([(verdict.partition(":")[0], k, float(v)) for k, v in sorted(weights.items())], "verdict string, layer string, value double")
 
 

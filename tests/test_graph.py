@@ -144,3 +144,24 @@ def test_preferential_graph():
     draws = mulberry32(1)
     assert all(0 <= next(draws) < 1 for _ in range(100))
     assert len(preferential_graph(1)) == 0 == len(preferential_graph(0))
+
+
+def test_seed_samples_and_keys(spark):
+    p = spark.createDataFrame([(1, "A" * 64), (2, "b" * 64), (3, "x"), (4, None)], "uid bigint, pubkey string")
+    assert G.resolve_seed(p, "b" * 64) == 2
+    with pytest.raises(LookupError):
+        G.resolve_seed(p, "c" * 64)
+    assert [r["uid"] for r in G.purge_invalid(p).orderBy("uid").collect()] == [1, 2]
+    n = spark.range(100).withColumnRenamed("id", "node")
+    assert [r[0] for r in G.sampled_nodes(n, 5).collect()] == [r[0] for r in G.sampled_nodes(n.repartition(7), 5).collect()]
+    nested = spark.createDataFrame([(1, [(2,), (3,)]), (4, None), (5, [])], "uid bigint, follows array<struct<uid: bigint>>")
+    assert {(r["src"], r["dst"]) for r in G.flatten(nested).collect()} == {(1, 2), (1, 3)}
+
+
+def test_schedule(spark):
+    s = "uid bigint, pubkey string, uncrawled int, next_attempt bigint, last_attempt bigint, miss_count int, follower_count bigint"
+    p = spark.createDataFrame([(1, "a", None, 50, 10, 2, 9), (2, "b", 1, None, None, None, 1), (3, "c", None, 500, 10, 0, 99), (4, "d", 1, 5, 1, 0, 7), (5, "e", None, None, 10, 3, 5), (6, "f", None, 40, 10, 0, 9)], s)
+    assert [r["uid"] for r in G.frontier(p, 10, 100).collect()] == [4, 2, 1, 6] and [r["uid"] for r in G.frontier(p, 3, 100).collect()] == [4, 2, 1]
+    done = {r["uid"]: r for r in G.mark_attempted(p, spark.createDataFrame([("a", 100, False), ("b", 100, True), ("b", 90, False)], "pubkey string, ts bigint, hit boolean")).collect()}
+    assert (done[1]["next_attempt"], done[1]["miss_count"]) == (100 + 28800, 3) and (done[2]["next_attempt"], done[2]["miss_count"], done[2]["uncrawled"]) == (100 + 86400, 0, None) and done[3]["next_attempt"] == 500
+    assert {r["uid"]: r["next_attempt"] for r in G.backfill_next_attempt(p).collect()}[5] == 10 + 86400

@@ -1,8 +1,12 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quern.functions import scalars
+
 from quern.operators import store as St
 from quern.operators import tune
 from quern.operators.layers import LAYERS, WEIGHTS
@@ -129,3 +133,44 @@ def test_forward_resumes(spark, tmp_path):
     run()
     assert seen == [1, 2]
     assert [S.sync_mode(t, 100) for t in (94, 95, 96)] == ["windowed", "windowed", "realtime"]
+
+
+def test_monitor(spark, tmp_path):
+    from quern.streaming.monitor import News, Progress
+
+    path, seen = f"file://{tmp_path}/in", Progress().watch(spark)
+    write_batches(spark, path, [[(1, "a", "x", 100, 1), (2, "b", "x", 101, 1)]])
+    news = News()
+    assert [news(spark.read.parquet(path)), news(spark.read.parquet(path))] == [False, False]
+    q = S.forward(spark, S.event_stream(spark, path), lambda df, n: df.count(), f"file://{tmp_path}/p")
+    q.awaitTermination()
+    for _ in range(50):
+        if seen.rows.get(str(q.id)):
+            break
+        __import__("time").sleep(0.1)
+    spark.streams.removeListener(seen)
+    assert seen.rows[str(q.id)] == 2 and not seen.failed
+    write_batches(spark, path, [[(9, "c", "x", 102, 1)]])
+    assert news(spark.read.parquet(path))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 4_000_000_000), st.integers(1, 31_536_000))
+def test_windows_are_contiguous_and_keep_their_length(start, seconds):
+    a = scalars.window_from(start, seconds)
+    b = scalars.next_window(*a)
+    assert b[0] == a[1] and b[1] - b[0] == seconds
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(0, 40)), min_size=1, max_size=60), st.integers(1, 9))
+def test_group_rank_is_row_number(spark, rows, width):
+    from quern.operators.ranking import global_rank, group_rank
+
+    df = spark.createDataFrame([(g, t, i) for i, (g, t) in enumerate(rows)], "g string, t int, i int")
+    order = sorted((g, t, i) for i, (g, t) in enumerate(rows))
+    want, seen = {}, {}
+    for g, _, i in order:
+        seen[g] = want[i] = seen.get(g, 0) + 1
+    assert {r["i"]: r["pos"] for r in group_rank(df, ["g"], F.floor(F.col("t") / width), ["t", "i"]).collect()} == want
+    assert [r["i"] for r in global_rank(df, ["g", "t", "i"]).orderBy("idx").collect()] == [i for _, _, i in order]
