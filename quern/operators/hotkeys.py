@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import Scratch
+
 BITS = 10
 
 
@@ -46,7 +48,8 @@ def key_quantiles(df: DataFrame, key: str, value: str, permille: list[int], min_
     if not permille:
         return root
     height = _levels(lo, hi)
-    level = rows.groupBy("key", F.col("v").alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    # read once for each level, so written once
+    level = Scratch(df.sparkSession).write(rows.groupBy("key", F.col("v").alias("bin")).agg(F.count(F.lit(1)).alias("c")))
     pyramid = [level]
     for _ in range(height):
         level = level.groupBy("key", F.shiftright("bin", BITS).alias("bin")).agg(F.sum("c").alias("c"))
