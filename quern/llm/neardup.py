@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def _sketch_floor(threshold: float, deviations: float = 3.2) -> int:
     return math.floor(SKETCH_BITS * p - deviations * math.sqrt(SKETCH_BITS * p * (1 - p)))
 
 
-def _signer(bands: int, rows: int, seed: int = 20240229):
+def _signer(bands: int, rows: int, least: int = 1, seed: int = 20240229):
     rng = np.random.default_rng(seed)
     n = max(bands * rows, SKETCH_BITS)
     a = rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,13 +90,17 @@ def _signer(bands: int, rows: int, seed: int = 20240229):
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):  # small enough for the processor's cache
                     part = batch.slice(at, 1000)
+                    part = part.filter(pa.compute.greater_equal(pa.compute.fill_null(pa.compute.list_value_length(part.column("tokens")), 0), max(1, least)))
+                    if not part.num_rows:
+                        continue
                     lists = part.column("tokens")
                     sizes = np.diff(lists.offsets.to_numpy())
                     flat = lists.flatten().to_numpy(zero_copy_only=False)
                     keys, sketch = sign(flat, np.r_[0, np.cumsum(sizes)[:-1]])
+                    kept = [n for n in part.schema.names if n != "tokens"]
                     yield pa.RecordBatch.from_arrays([
-                        part.column("cid"), pa.array(sketch[0]), pa.array(sketch[1]),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))], ["cid", "s1", "s2", "keys"])
+                        *[part.column(n) for n in kept], pa.array(sketch[0]), pa.array(sketch[1]),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))], [*kept, "s1", "s2", "keys"])
 
     return run
 
@@ -103,39 +108,63 @@ def _signer(bands: int, rows: int, seed: int = 20240229):
 class NearDuplicates:
     """Texts whose token sets have a Jaccard similarity of at least ``threshold``.
 
-    ``docs`` is (id, tokens): ``tokens`` a sorted array of distinct strings or 64-bit hashes. Null ids and null or
-    empty token arrays have no partners and are left out. Rows with one id and equal tokens count once. Documents with
+    ``docs`` has an ``id``; ``tokens`` is an expression over its columns, a sorted array of distinct strings or 64-bit
+    hashes. Null ids, null arrays and those of fewer than ``least`` tokens have no partners and are left out. Other
+    columns are not read. Rows with one id and equal tokens count once. Documents with
     equal token sets form one class, whatever their number; only classes are signed, banded and compared, so copies
     cost nothing beyond the first shuffle. A band shared by many classes is joined by a sort-merge join that AQE can
     split, not gathered. Every candidate pair is verified on the full token sets; no cap is set anywhere. Recall is
     that of the banding, precision is exact.
     """
 
-    def __init__(self, docs: DataFrame, threshold: float, recall: float = 0.95, scratch: Scratch | None = None):
+    def __init__(self, docs: DataFrame, tokens: Column, threshold: float, recall: float = 0.95, least: int = 1, keep_sets: bool = True, scratch: Scratch | None = None):
+        """``keep_sets``: write the token sets of all documents once (short texts), or write the signatures only and
+        make the sets of candidates again from ``docs`` (long texts, whose sets are larger than signatures)."""
         self.scratch = scratch or Scratch(docs.sparkSession)
-        self.threshold = threshold
+        self.threshold, self.least, self.keep_sets, self.tokens = threshold, least, keep_sets, tokens
         self.bands, self.rows = choose_bands(threshold, recall)
-        kept = docs.filter(F.col("id").isNotNull() & (F.size("tokens") > 0))
-        self.docs = self.scratch.write(kept.select("id", F.xxhash64("tokens").alias("cid"), F.xxhash64(F.lit(7), "tokens").alias("cid2"), "tokens"))
-        self.classes = self.scratch.write(self.docs.groupBy("cid", "cid2").agg(F.first("tokens").alias("tokens")))
+        self.raw = docs.filter(F.col("id").isNotNull())
+        if keep_sets:
+            # sizes are asked of the written sets: asked before, Spark would make each set twice, to test and to keep it
+            self.docs = self.scratch.write(self._identified(self.raw)).filter(F.size("tokens") >= least)
+            self.classes = self.scratch.write(self.docs.groupBy("cid", "cid2").agg(F.first("tokens").alias("tokens")))
+            self.signed = self._sign(self.classes.select("cid", "tokens"))
+        else:
+            self.docs = self.scratch.write(self._sign(self._identified(self.raw)))
+            self.signed = self.docs.groupBy("cid", "cid2").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("keys").alias("keys"))
         self.members = self.docs.select("id", "cid", "cid2").distinct()
 
+    def _identified(self, docs: DataFrame) -> DataFrame:
+        return docs.select("id", self.tokens.alias("tokens")).select("id", F.xxhash64("tokens").alias("cid"), F.xxhash64(F.lit(7), "tokens").alias("cid2"), "tokens")
+
+    def _sign(self, df: DataFrame) -> DataFrame:
+        kept = [c for c in df.columns if c != "tokens"]
+        schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in kept) + ", s1 bigint, s2 bigint, keys array<bigint>"
+        return df.select(*kept, F.transform("tokens", lambda t: F.hash(t)).alias("tokens")).mapInArrow(_signer(self.bands, self.rows, self.least), schema)
+
     def candidates(self) -> DataFrame:
         """Distinct (a, b), a < b, of class ids that share a band and whose sketches do not rule them out."""
-        signed = self.classes.select("cid", F.transform("tokens", lambda t: F.hash(t)).alias("tokens")).mapInArrow(
-            _signer(self.bands, self.rows), "cid bigint, s1 bigint, s2 bigint, keys array<bigint>")
-        keyed = signed.select("cid", "s1", "s2", F.explode("keys").alias("key"))
+        keyed = self.signed.select("cid", "s1", "s2", F.explode("keys").alias("key"))
         a, b = keyed.alias("a"), keyed.alias("b")
         apart = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
         near = apart <= SKETCH_BITS - _sketch_floor(self.threshold)
         return a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") < F.col("b.cid")) & near).select(
             F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
 
+    def _sets(self, candidates: DataFrame) -> DataFrame:
+        """(cid, cid2, tokens) of the classes of the candidates: of each the document with the smallest id."""
+        need = candidates.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        first = self.members.join(need, "cid", "left_semi").groupBy("cid", "cid2").agg(F.min("id").alias("id")).select("id").distinct()
+        again = self._identified(self.raw.join(first, "id", "left_semi"))
+        return self.scratch.write(again.groupBy("cid", "cid2").agg(F.first("tokens").alias("tokens")))
+
     def class_pairs(self) -> DataFrame:
         """Verified (a, a2, b, b2, common, total): pairs of classes at or above the threshold."""
-        side = lambda x: self.classes.select(F.col("cid").alias(x), F.col("cid2").alias(f"{x}2"), F.col("tokens").alias(f"t{x}"))
+        candidates = self.candidates() if self.keep_sets else self.scratch.write(self.candidates())
+        sets = self.classes if self.keep_sets else self._sets(candidates)
+        side = lambda x: sets.select(F.col("cid").alias(x), F.col("cid2").alias(f"{x}2"), F.col("tokens").alias(f"t{x}"))
         # sizes alone rule out many candidates before the second set is fetched
-        first = self.candidates().join(side("a"), "a")
+        first = candidates.join(side("a"), "a")
         both = first.join(side("b"), "b")
         share = F.lit(self.threshold)
         both = both.filter(F.least(F.size("ta"), F.size("tb")) >= share * F.greatest(F.size("ta"), F.size("tb")) - F.lit(1e-9))

@@ -12,23 +12,23 @@ from quern.sources.tables import canonical_source, table
 
 # 2: near-duplicate events -------------------------------------------------------------------------------------------
 def _notes(spark, d):
-    notes = table(spark, d, "seed_events").filter("kind = 1 and content is not null")
-    return notes.select("id", neardup.word_set(F.col("content")).alias("tokens")).filter(F.size("tokens") >= 12)
+    notes = table(spark, d, "seed_events").filter("kind = 1 and content is not null").select("id", "content")
+    return neardup.NearDuplicates(notes, neardup.word_set(F.col("content")), threshold=0.6, least=12)
 
 
 def p2_found(spark, d):
-    return neardup.NearDuplicates(_notes(spark, d), threshold=0.6).pairs()
+    return _notes(spark, d).pairs()
 
 
 def p2_groups(spark, d):
     """One row a note that has a near duplicate: its class, its group and its number of links."""
-    return neardup.NearDuplicates(_notes(spark, d), threshold=0.6).groups()
+    return _notes(spark, d).groups()
 
 
 def p2_document_groups(spark, d):
     """The same for documents, on shingles of five words at 0.8."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), neardup.shingle_set(F.col("text")).alias("tokens"))
-    return neardup.NearDuplicates(docs, threshold=0.8).groups()
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return neardup.NearDuplicates(docs, neardup.shingle_set(F.col("text")), threshold=0.8, keep_sets=False).groups()
 
 
 # 4: newest events of every author and kind --------------------------------------------------------------------------

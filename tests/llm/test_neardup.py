@@ -50,19 +50,19 @@ def shingles(t):
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+@pytest.mark.parametrize("keep", [True, False])
 @pytest.mark.parametrize("threshold, build, tokens", [(0.6, N.word_set, word_set), (0.8, N.shingle_set, shingles)])
-def test_pairs_against_brute_force(spark, threshold, build, tokens):
+def test_pairs_against_brute_force(spark, threshold, build, tokens, keep):
     texts = collection(1)
-    df = frame(spark, texts).select("id", build(F.col("text")).alias("tokens"))
-    got = {(r["id_a"], r["id_b"]) for r in N.NearDuplicates(df, threshold, 0.98).pairs().collect()}
+    got = {(r["id_a"], r["id_b"]) for r in N.NearDuplicates(frame(spark, texts), build(F.col("text")), threshold, 0.98, keep_sets=keep).pairs().collect()}
     want = brute(texts, threshold, tokens)
     assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 20
 
 
-def test_groups(spark):
+@pytest.mark.parametrize("keep", [True, False])
+def test_groups(spark, keep):
     texts = collection(2)
-    df = frame(spark, texts).select("id", N.word_set(F.col("text")).alias("tokens"))
-    n = N.NearDuplicates(df, 0.6, 0.999)
+    n = N.NearDuplicates(frame(spark, texts), N.word_set(F.col("text")), 0.6, 0.999, keep_sets=keep)
     pairs = {(r["id_a"], r["id_b"]) for r in n.pairs().collect()}
     rows = {r["id"]: r for r in n.groups().collect()}
     for i, r in rows.items():
@@ -71,30 +71,33 @@ def test_groups(spark):
     assert all(rows[a]["group_id"] == rows[b]["group_id"] for a, b in pairs)
 
 
-def test_repeated_rows_and_null_ids(spark):
+@pytest.mark.parametrize("keep", [True, False])
+def test_repeated_rows_and_null_ids(spark, keep):
     rows = [(1, "a b c"), (1, "a b c"), (2, "c b a"), (None, "a b c"), (3, "x y z")]
-    df = spark.createDataFrame(rows, "id bigint, text string").select("id", N.word_set(F.col("text")).alias("tokens"))
-    assert [tuple(r) for r in N.NearDuplicates(df, 0.6).pairs().collect()] == [(1, 2)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    assert [tuple(r) for r in N.NearDuplicates(df, N.word_set(F.col("text")), 0.6, keep_sets=keep).pairs().collect()] == [(1, 2)]
 
 
 def test_many_copies_are_one_class(spark):
     df = spark.range(300).select("id", F.array(F.lit("a"), F.lit("b")).alias("tokens"))
-    n = N.NearDuplicates(df, 0.6)
+    n = N.NearDuplicates(df, F.col("tokens"), 0.6)
     assert n.classes.count() == 1 and n.candidates().count() == 0 and n.pairs().count() == 300 * 299 // 2
     assert {(r["id"], r["links"]) for r in n.groups().collect()} == {(i, 299) for i in range(300)}
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "id bigint, tokens array<string>")
-    n = N.NearDuplicates(df, 0.6)
-    assert n.pairs().count() == 0 == n.groups().count()
+    for keep in (True, False):
+        n = N.NearDuplicates(df, F.col("tokens"), 0.6, keep_sets=keep)
+        assert n.pairs().count() == 0 == n.groups().count()
 
 
 def test_very_long_text(spark):
     rng = random.Random(3)
     words = rng.choices(WORDS, k=30_000)
-    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:29_900]))], "id bigint, text string").select("id", N.shingle_set(F.col("text")).alias("tokens"))
-    assert N.NearDuplicates(df, 0.8).pairs().count() == 1
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:29_900]))], "id bigint, text string")
+    for keep in (True, False):
+        assert N.NearDuplicates(df, N.shingle_set(F.col("text")), 0.8, keep_sets=keep).pairs().count() == 1
 
 
 def test_bands_reach_the_recall():
@@ -103,3 +106,9 @@ def test_bands_reach_the_recall():
         assert bands <= 64 and 1 - (1 - threshold**rows) ** bands >= recall
     with pytest.raises(ValueError):
         N.choose_bands(0.01, 0.999, most=4)
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_least_tokens(spark, keep):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "a b"), (4, "a b")], "id bigint, text string")
+    assert [tuple(r) for r in N.NearDuplicates(df, N.word_set(F.col("text")), 0.6, least=3, keep_sets=keep).pairs().collect()] == [(1, 2)]
