@@ -69,7 +69,8 @@ def pack_histogram(histogram: dict[int, int], capacity: int, rounds: int | None
     covered = np.zeros(len(lengths))
     chosen: dict[bytes, float] = {}
     bound = -(-int((need * lengths).sum()) // capacity)
-    for _ in range(rounds):
+    best: list[tuple[int, dict[int, int]]] | None = None
+    for i in range(1, rounds + 1):
         prices = lengths / capacity * np.exp(-covered)
         used = dearest_filling(lengths, prices, capacity)
         bound = max(bound, int(np.ceil((need * prices).sum() / (used * prices).sum() - 1e-6)))
@@ -78,8 +79,18 @@ def pack_histogram(histogram: dict[int, int], capacity: int, rounds: int | None
         amount = step * float((need[on] / used[on]).min())
         chosen[used.tobytes()] = chosen.get(used.tobytes(), 0.0) + amount
         covered += used * amount / need
-        if covered.min() >= 1:
-            break
+        done = i == rounds or covered.min() >= 1
+        if done or i & (i - 1) == 0:  # after 1, 2, 4, ... steps: a rounding that meets the bound cannot be bettered
+            fillings = _rounded(chosen, lengths, need, capacity)
+            if best is None or sum(k for k, _ in fillings) < sum(k for k, _ in best):
+                best = fillings
+            if done or sum(k for k, _ in best) == bound:
+                break
+    return Plan(capacity, best, bound)
+
+
+def _rounded(chosen: dict[bytes, float], lengths: np.ndarray, need: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Whole fillings for a fractional solution: each rounded down, then what is left, longest first."""
     fillings: list[tuple[int, dict[int, int]]] = []
     left = need.copy()
 
@@ -103,7 +114,7 @@ def pack_histogram(histogram: dict[int, int], capacity: int, rounds: int | None
                 break
             i = int(fits[-1])
         take(used, int(left.max()))
-    return Plan(capacity, fillings, bound)
+    return fillings
 
 
 def _places(plan: Plan) -> tuple[np.ndarray, ...]:
