@@ -344,11 +344,12 @@ def lexicon_terms(lexicon: DataFrame) -> list[tuple[str, str]]:
 
 def fit_weights(texts: DataFrame, verdicts: DataFrame, terms: list[tuple[str, str]], most: int = 40_000) -> dict[str, float]:
     """Weight of each pattern: how often reviewers agree with it, shrunk to its prior. ``texts`` is (id, content),
-    ``verdicts`` (id, is_abusive); at most ``most`` events with verdicts, those with the smallest id hash, are used.
+    ``verdicts`` (id, is_abusive); at most ``most`` events with verdicts, those with the smallest id hash, are used (so few
+    that they are broadcast: some 100 bytes each).
     Several verdicts on an event are averaged; null verdicts are left out."""
     votes = verdicts.filter("id is not null and is_abusive is not null").groupBy("id").agg(F.avg("is_abusive").alias("y"))
     votes = votes.orderBy(F.xxhash64("id"), "id").limit(most)
-    rows = texts.filter("id is not null and content is not null").join(votes, "id").groupBy("id").agg(F.max("content").alias("content"), F.max("y").alias("y"))
+    rows = texts.filter("id is not null and content is not null").join(F.broadcast(votes), "id").groupBy("id").agg(F.max("content").alias("content"), F.max("y").alias("y"))
     grammar = Grammar(Lexicon(terms))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
