@@ -32,7 +32,10 @@ def merged(existing: list[str], new: list[str], replace: bool = False) -> list[s
     """Existing addresses and the new ones, once each by form, in the spelling first met. ``replace`` drops existing
     addresses except unencrypted ones, which no discovery would bring back."""
     kept = [u for u in existing if not replace or form(u).startswith("ws://")]
-    return list({form(u): u for u in reversed([*kept, *new])}.values())[::-1]
+    first: dict[str, str] = {}
+    for u in [*kept, *new]:
+        first.setdefault(form(u), u)
+    return list(first.values())
 
 
 def secure(urls: list[str]) -> list[str]:
