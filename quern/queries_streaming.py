@@ -36,6 +36,12 @@ def sm_latest_lists(spark, d):
     return S.LatestLists(spark).run(_stream(spark, d)).select("pubkey", "lev_id", "created_at")
 
 
+def sm_list_versions(spark, d):
+    """The newest list of each author, as the last entry of the change log of accepted versions."""
+    log = S.catch_up(spark, S.accepted_versions(_stream(spark, d)))
+    return log.groupBy("pubkey").agg(F.max_by(F.struct("lev_id", "created_at"), "created_at").alias("r")).select("pubkey", "r.*")
+
+
 def sm_sliding_rates(spark, d):
     """Busiest trailing ten minutes, as a table expression of the same rule as the stream's."""
     e = event_log(spark, d).filter("created_at between 0 and 4102444800").withColumn("ts", F.timestamp_seconds("created_at"))
@@ -43,7 +49,7 @@ def sm_sliding_rates(spark, d):
     return w.agg(F.count(F.lit(1)).alias("windows"), F.max("n").alias("busiest"), F.sum("n").alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (sm_window_counts, sm_final_windows, sm_distinct, sm_telemetry, sm_latest_lists, sm_sliding_rates)}
+QUERIES = {f.__name__: f for f in (sm_window_counts, sm_final_windows, sm_distinct, sm_telemetry, sm_latest_lists, sm_list_versions, sm_sliding_rates)}
 
 _LAG = "(CAST(floor(epoch_us(received_at) / 1000000) AS BIGINT) - created_at)"
 ORACLE = {
@@ -57,3 +63,4 @@ ORACLE = {
     "sm_sliding_rates": """WITH e AS (SELECT created_at FROM seed_events WHERE created_at BETWEEN 0 AND 4102444800),
         w AS (SELECT created_at // 60 * 60 - 60 * i AS start, count(*) AS n FROM e, range(10) r(i) GROUP BY 1) SELECT count(*) AS windows, max(n) AS busiest, CAST(sum(n) AS BIGINT) AS total FROM w""",
 }
+ORACLE["sm_list_versions"] = ORACLE["sm_latest_lists"]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quern.operators.graph import latest_lists
 from quern.session import Scratch
@@ -101,3 +103,24 @@ class LatestLists:
         return self.state
 
 
+
+
+def accepted_versions(stream: DataFrame, kind: int = 3) -> DataFrame:
+    """(pubkey, created_at, lev_id) of every list that is newer than all before it from its author: a change log, kept by
+    a state of two numbers an author in Spark's state store. Older lists and equal times are passed over, however late
+    or early they come; the list itself is looked up by ``lev_id``."""
+    rows = stream.filter((F.col("kind") == kind) & F.col("pubkey").isNotNull() & F.col("created_at").isNotNull()).select("pubkey", "created_at", "lev_id")
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = state.get if state.exists else None
+        before = best
+        for b in batches:
+            at = int(b["created_at"].max())
+            first = int(b.loc[b["created_at"] == at, "lev_id"].min())
+            if best is None or at > best[0] or (best is not before and at == best[0] and first < best[1]):
+                best = (at, first)
+        if best is not before:
+            state.update(best)
+            yield pd.DataFrame({"pubkey": [key[0]], "created_at": [best[0]], "lev_id": [best[1]]})
+
+    return rows.groupBy("pubkey").applyInPandasWithState(step, "pubkey string, created_at bigint, lev_id bigint", "created_at bigint, lev_id bigint", "append", GroupStateTimeout.NoTimeout)

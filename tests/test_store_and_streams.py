@@ -122,6 +122,8 @@ def test_a_newer_list_wins_however_late(spark, tmp_path):
     write_batches(spark, path, [[(1, "a", "x", 100, 3), (2, "b", "y", 500, 3)], [(3, "c", "x", 90, 3), (4, "d", "y", 500, 3), (5, "e", "x", 101, 3)]])
     got = {r["pubkey"]: r["lev_id"] for r in S.LatestLists(spark).run(S.event_stream(spark, path, files=1)).collect()}
     assert got == {"x": 5, "y": 2}
+    log = S.catch_up(spark, S.accepted_versions(S.event_stream(spark, path, files=1)))
+    assert {(r["pubkey"], r["created_at"], r["lev_id"]) for r in log.collect()} == {("x", 100, 1), ("x", 101, 5), ("y", 500, 2)}
 
 
 def test_forward_resumes(spark, tmp_path):
