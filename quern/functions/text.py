@@ -31,11 +31,6 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
-def signed(h: int) -> int:
-    """The same 64 bits as a BIGINT."""
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
 def fnv1a_many(texts: list[str]) -> np.ndarray:
     """FNV-1a of many short texts at once: byte columns instead of a loop for each text."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -100,24 +95,35 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(common / F.when(total == 0, F.lit(1)).otherwise(total))
 
 
+def simhash_many(lists: list[list[str]]) -> np.ndarray:
+    """The SimHash of each list of shingles: a bit is set if more of their hashes have it than not. All lists are hashed
+    together; none may be empty."""
+    if not lists:
+        return np.zeros(0, np.uint64)
+    sizes = np.array([len(x) for x in lists])
+    h = fnv1a_many([s for x in lists for s in x])
+    bits = np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little")
+    votes = np.add.reduceat(bits, np.r_[0, np.cumsum(sizes)[:-1]], axis=0, dtype=np.int32)
+    return np.packbits(votes * 2 > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def simhash_bits(shingles: list[str]) -> int:
-    """A bit is set if more shingle hashes have it than not."""
-    h = fnv1a_many(shingles)
-    votes = np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").astype(np.int64).sum(axis=0)
-    return int(np.packbits(votes * 2 > len(h), bitorder="little").view(np.uint64)[0])
+    return int(simhash_many([shingles])[0])
 
 
 @F.pandas_udf(_longs("content_hash", "simhash"))
 def fingerprint(text: pd.Series) -> pd.DataFrame:
     """Of the collapsed text: its FNV-1a hash, and the SimHash of its shingles of three words, both as bit patterns."""
-    known: dict[str, tuple[int, int]] = {}
-    out = []
-    for t in text:
-        t = collapse_py(t) if isinstance(t, str) else ""
-        if t not in known:
-            known[t] = (signed(fnv1a(t.encode("utf-8", "surrogatepass"))), signed(simhash_bits(word_shingles(t))))
-        out.append(known[t])
-    return pd.DataFrame(out, columns=["content_hash", "simhash"])
+    texts = [collapse_py(t) if isinstance(t, str) else "" for t in text]
+    distinct = list(dict.fromkeys(texts))
+    content, sim = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+    for at in range(0, len(distinct), 1000):  # bounds the bits held at once
+        part = distinct[at:at + 1000]
+        content[at:at + 1000] = fnv1a_many(part).view(np.int64)
+        sim[at:at + 1000] = simhash_many([word_shingles(t) for t in part]).view(np.int64)
+    where = {t: i for i, t in enumerate(distinct)}
+    pick = np.array([where[t] for t in texts], np.int64)
+    return pd.DataFrame({"content_hash": content[pick], "simhash": sim[pick]})
 
 
 @F.pandas_udf(T.LongType())
