@@ -2,7 +2,7 @@
 
 Exact selection over mergeable histograms. Rows collapse to counts of (key, value) before any shuffle; that table is
 spread by key *and* value, so a hot key is spread too. From it a pyramid of histograms is made, each level with bins
-1024 times as wide; a group of the pyramid has at most 1024 children, whatever the key. A rank is then resolved from
+4096 times as wide; a group of the pyramid has at most 4096 children, whatever the key. A rank is then resolved from
 the widest bins down: one bin is chosen by cumulative counts, its residual rank goes to its children, until bins hold
 single values. No task and no driver ever sees the values of a key.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quern.session import Scratch
 
-BITS = 10
+BITS = 12
 
 
 def _levels(lo: int | None, hi: int | None) -> int:
@@ -63,7 +63,7 @@ def key_quantiles(df: DataFrame, key: str, value: str, permille: list[int], min_
     for level in reversed(pyramid):
         bins = level.select("key", "bin", "c", F.shiftright("bin", BITS).alias("parent"))
         on = ["key"] if first else ["key", "parent"]
-        # at the top a key has one or two bins, below at most 1024 for each rank sought
+        # at the top a key has one or two bins, below at most 4096 for each rank sought
         w = Window.partitionBy("key", "p").orderBy("bin")
         seen = state.join(bins.drop("parent") if first else bins, on).withColumn("upto", F.sum("c").over(w))
         state = seen.filter("upto > rank and upto - c <= rank").select(
