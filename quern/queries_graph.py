@@ -143,6 +143,35 @@ def gr_cluster_report(spark, d):
     return G.cluster_report(G.beneath(e, b, 2), t, b).withColumn("score", F.round("score", 6))
 
 
+def _closed(e):
+    """The trust fixpoint (k = 2) of the twenty seeds; most of the graph stays outside."""
+    return Scratch(e.sparkSession).write(G.trust_closure(e, _seeds(e)).select("node"))
+
+
+def gr_trust_endorsements(spark, d):
+    e = graph(spark, d)
+    return G.endorsements(e, _closed(e))
+
+
+def gr_trust_bridges(spark, d):
+    e = graph(spark, d)
+    return G.weak_bridges(e, _closed(e))
+
+
+def gr_trust_beneath(spark, d):
+    """How many nodes each bridge (weight 1 and 2) of the fixpoint reaches in up to three hops."""
+    e = graph(spark, d)
+    return G.beneath(e, G.weak_bridges(e, _closed(e))).groupBy("bridge").agg(F.count(F.lit(1)).alias("n"))
+
+
+def gr_trust_clusters(spark, d):
+    """The whole scan: trust to the fixpoint, weak bridges, clusters of three hops."""
+    e = graph(spark, d)
+    t = _closed(e)
+    b = Scratch(spark).write(G.weak_bridges(e, t))
+    return G.cluster_report(G.beneath(e, b), t, b).withColumn("score", F.round("score", 6))
+
+
 def gr_frontier(spark, d):
     return G.frontier(profiles(spark, d), 500, NOW).select("uid", "phase")
 

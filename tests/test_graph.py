@@ -51,6 +51,49 @@ def test_bridges_and_clusters(spark):
     assert rep == {10: (2, 2.0), 11: (3, 3.0)}
 
 
+def test_cluster_scan_to_the_fixpoint(spark, monkeypatch):
+    from quern import queries_graph as Q
+
+    rng = np.random.default_rng(5)
+    # seeds 0 to 19 trust 20 and 21, those trust 22: the fixpoint is two steps away
+    pairs = {(i, j) for i in range(20) for j in (20, 21)} | {(20, 22), (21, 22)}
+    pairs |= {(22, 100), (0, 101), (1, 102), (103, 22), (103, 21), (104, 2)}
+    # beneath 101 a chain that widens at the third hop only
+    pairs |= {(101, 110), (110, 111), *((111, x) for x in range(112, 118))}
+    # within the outside only, so that nobody there becomes trusted
+    pairs |= {(int(a), int(b)) for a, b in rng.integers(200, 260, (150, 2)) if a != b} | {(100, 200), (102, 201), (103, 202), (104, 203)}
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    trusted = set(range(20))
+    while new := {n for n in {b for _, b in pairs} - trusted if sum(a in trusted for a, b in pairs if b == n) >= 2}:
+        trusted |= new
+    assert trusted == set(range(23))
+    weight = {}
+    for a, b in pairs:
+        if a in trusted and b not in trusted:
+            weight[b] = weight.get(b, 0) + 1
+        if b in trusted and a not in trusted:
+            weight[a] = weight.get(a, 0) + 1
+    weight = {n: w for n, w in weight.items() if w <= 2}
+    beneath, clusters = {}, {}
+    for n, w in weight.items():
+        seen = level = {n}
+        for _ in range(3):
+            level = {y for x in level for y in out.get(x, ())} - seen
+            seen = seen | level
+        if seen - {n}:
+            beneath[n] = len(seen) - 1
+        if len(c := seen - {n} - trusted) >= 5:
+            clusters[n] = (len(c), w, round(len(c) / w, 6))
+    assert 101 in clusters and set(weight.values()) == {1, 2}
+    monkeypatch.setattr(Q, "graph", lambda spark, d: edges(spark, sorted(pairs)))
+    assert as_dict(Q.gr_trust_bridges(spark, ""), "node", "weight") == weight
+    assert set(as_dict(Q.gr_trust_endorsements(spark, ""), "node", "weight").items()) >= set(weight.items())
+    assert as_dict(Q.gr_trust_beneath(spark, ""), "bridge", "n") == beneath
+    assert as_dict(Q.gr_trust_clusters(spark, ""), "bridge", "cluster_size", "weight", "score") == clusters
+
+
 @pytest.mark.parametrize("base, cap, want", [(7200, 604800, [7200, 14400, 28800, 57600, 115200, 230400, 460800, 604800]), (7200, 18000, [7200, 14400, 18000])])
 def test_backoff(spark, base, cap, want):
     df = spark.createDataFrame([(i,) for i in range(len(want))], "m int")
