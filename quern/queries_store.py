@@ -8,6 +8,7 @@ from quern.functions import keys, scalars
 from quern.functions.text import fnv1a64, unsigned_hex
 from quern.operators import events as E
 from quern.operators import gate, graph, layers, store, tune
+from quern.operators.analysis import SANE_UNTIL, sane_time
 from quern.operators.ranking import group_rank
 from quern.queries_analysis import FNV, HOST, WINDOW100, allowed_of, stored_window, window_of
 from quern.queries_graph import _E, _P
@@ -16,6 +17,8 @@ from quern.sources import frames, jsonl, payloads
 from quern.sources.tables import canonical_source, effective_profiles, event_log, follow_edges, table
 
 RUN = 1
+#: a delivery is late after so many seconds
+LATE = 10 * 86_400
 
 
 def _scores(spark, d):
@@ -149,6 +152,16 @@ def io_relay_delay(spark, d):
     return e.groupBy("relay").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("lag"), 3).alias("mean"), F.max("lag").alias("most"), F.percentile("lag", 0.95).alias("p95")).orderBy("mean", "relay").limit(50)
 
 
+def io_relay_delay_whole(spark, d):
+    """Relays by the mean delay of all their deliveries, the quickest fifty: count, those over ten days and before their time,
+    mean, largest, the true 95th percentile, and the deliveries without a sane time, which have no delay."""
+    lag = F.unix_seconds(F.col("received_at").cast("timestamp")) - F.col("created_at")
+    e = event_log(spark, d).select(canonical_source(F.col("source")).alias("relay"), F.when(sane_time(), lag).alias("lag")).filter("relay is not null")
+    return e.groupBy("relay").agg(
+        F.count("lag").alias("n"), F.count_if(F.col("lag") > LATE).alias("late"), F.count_if(F.col("lag") < 0).alias("early"), F.round(F.avg("lag"), 3).alias("mean"), F.max("lag").alias("most"),
+        F.percentile("lag", 0.95).alias("p95"), F.count_if(F.col("lag").isNull()).alias("rejected")).orderBy(F.asc_nulls_last("mean"), "relay").limit(50)
+
+
 def io_frame(spark, d):
     """The graph frame encoded and decoded: nodes, edges, and sums of its sections."""
     p = effective_profiles(spark, d)
@@ -239,6 +252,9 @@ ORACLE = {
         SELECT relay, count(DISTINCT pubkey) AS authors FROM r WHERE starts_with(relay, 'wss://') GROUP BY 1""",
     "io_relay_delay": """WITH e AS (SELECT regexp_replace(lower(trim(source)), '/+$', '') AS relay, CAST(floor(epoch_us(received_at) / 1000000) AS BIGINT) - created_at AS lag FROM seed_events)
         SELECT relay, count(*) AS n, round(avg(lag), 3) AS mean, max(lag) AS most, quantile_cont(CAST(lag AS DOUBLE), 0.95) AS p95 FROM e WHERE relay IS NOT NULL AND lag BETWEEN 0 AND 864000 GROUP BY 1 ORDER BY mean, relay LIMIT 50""",
+    "io_relay_delay_whole": f"""WITH e AS (SELECT regexp_replace(lower(trim(source)), '/+$', '') AS relay, CASE WHEN created_at BETWEEN 0 AND {SANE_UNTIL} THEN CAST(floor(epoch_us(received_at) / 1000000) AS BIGINT) - created_at END AS lag FROM seed_events)
+        SELECT relay, count(lag) AS n, count(*) FILTER (WHERE lag > {LATE}) AS late, count(*) FILTER (WHERE lag < 0) AS early, round(avg(lag), 3) AS mean, max(lag) AS most, quantile_cont(CAST(lag AS DOUBLE), 0.95) AS p95,
+        count(*) FILTER (WHERE lag IS NULL) AS rejected FROM e WHERE relay IS NOT NULL GROUP BY 1 ORDER BY mean NULLS LAST, relay LIMIT 50""",
     "io_frame": f"""WITH {_P}, {_E}, x AS (SELECT * FROM e WHERE dst IN (SELECT uid FROM p)) SELECT (SELECT count(*) FROM p) AS nodes, (SELECT count(*) FROM x) AS edges,
         (SELECT count(*) FROM x WHERE dst IN (SELECT uid FROM p)) AS in_sum, (SELECT count(*) FROM x WHERE src IN (SELECT uid FROM p)) AS out_sum,
         (SELECT CAST(sum(greatest(least(coalesce(kind3createdat, 0), 2147483647), -2147483648)) AS BIGINT) FROM p) AS kind3_sum, (SELECT 32 * count(*) FROM p) AS key_bytes""",

@@ -176,3 +176,14 @@ def test_group_rank_is_row_number(spark, rows, width):
         seen[g] = want[i] = seen.get(g, 0) + 1
     assert {r["i"]: r["pos"] for r in group_rank(df, ["g"], F.floor(F.col("t") / width), ["t", "i"]).collect()} == want
     assert [r["i"] for r in global_rank(df, ["g", "t", "i"]).orderBy("idx").collect()] == [i for _, _, i in order]
+
+
+def test_late_deliveries_count_in_the_delay(spark, monkeypatch):
+    from quern import queries_store as Q
+
+    day, at = 86_400, 1_740_000_000
+    rows = [("a", at, at + 10), ("A/ ", at, at + 20 * day), ("a", at + 30, at), ("a", None, at), ("a", 9_999_999_999, at), ("b", at, at + 10 * day), ("c", -5, at), (None, at, at)]
+    log = spark.createDataFrame(rows, "source string, created_at bigint, r bigint").select("source", "created_at", F.timestamp_seconds("r").alias("received_at"))
+    monkeypatch.setattr(Q, "event_log", lambda spark, d: log)
+    got = [tuple(r) for r in Q.io_relay_delay_whole(spark, "").select("relay", "n", "late", "early", "mean", "most", "rejected").collect()]
+    assert got == [("a", 3, 1, 1, round((10 + 20 * day - 30) / 3, 3), 20 * day, 2), ("b", 1, 0, 0, 10.0 * day, 10 * day, 0), ("c", 0, 0, 0, None, None, 1)]
