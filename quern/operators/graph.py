@@ -6,6 +6,8 @@ folder, so that neither the plan grows nor a lost executor takes earlier rounds
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -249,12 +251,14 @@ def nested_neighbours(edges: DataFrame, roots: DataFrame, a: int, b: int) -> Dat
     return x.join(y, "first", "left").select("root", "first", "second")
 
 
-def louvain(edges: DataFrame, scratch: Scratch | None = None, rounds: int = 20, sweeps: int = 8, eps: float = 1e-7) -> DataFrame:
+def louvain(edges: DataFrame, scratch: Scratch | None = None, rounds: int = 20, sweeps: int = 200, eps: float = 1e-7) -> DataFrame:
     """(node, community): communities of the undirected graph in which each directed edge weighs 1.
 
     Distributed local moving: in a sweep every node looks at the communities of its neighbours and takes the one with
-    the best gain; half of the nodes, by a hash that changes with the sweep, may move at a time, which keeps neighbours
-    from swapping. When the modularity stops growing by ``eps`` the communities become the nodes of the next level.
+    the best gain; half of the nodes, by a hash, may move at a time, which keeps neighbours from swapping, and then the
+    other half. A level ends when no node gains by a move, or when two sweeps of both halves have not raised the best
+    modularity by ``eps``; the best communities become the nodes of the next level. ``sweeps`` halves a level and
+    ``rounds`` levels are caps: a warning says so where one ends the run.
     Community numbers are the smallest node in each. Self-loops are left out; nodes without edges have no row."""
     scratch = scratch or Scratch(edges.sparkSession)
     half = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
@@ -267,7 +271,7 @@ def louvain(edges: DataFrame, scratch: Scratch | None = None, rounds: int = 20,
     for level in range(rounds):
         nodes = g.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
         state = scratch.write(nodes.withColumn("c", F.col("node")))
-        q_level = None
+        q_level, top, idle = None, state, 0
         for sweep in range(sweeps):
             total = state.groupBy("c").agg(F.sum("k").alias("tot"))
             to = g.filter("a <> b").join(state.select(F.col("node").alias("b"), "c"), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("w").alias("w"))
@@ -276,16 +280,26 @@ def louvain(edges: DataFrame, scratch: Scratch | None = None, rounds: int = 20,
             rest = F.col("tot") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
             gain = F.col("w") - rest * F.col("k") / m2
             pick = options.groupBy("node").agg(F.max_by(F.struct("c", gain.alias("g")), F.struct(F.round(gain, 9), -F.col("c"))).alias("best"), F.max(F.when(F.col("c") == F.col("now"), gain)).alias("stay"), F.first("k").alias("k"), F.first("now").alias("now"))
-            may = F.pmod(F.xxhash64("node", F.lit(level * 100 + sweep)), F.lit(2)) == 0
-            moved = pick.select("node", "k", F.when(may & (F.col("best.g") > F.col("stay") + 1e-9), F.col("best.c")).otherwise(F.col("now")).alias("c"))
-            state = scratch.write(moved)
+            may = F.pmod(F.xxhash64("node", F.lit(level * 1000 + sweep // 2)), F.lit(2)) == sweep % 2
+            gains = F.col("best.g") > F.col("stay") + 1e-9
+            moved = pick.select("node", "k", F.when(may & gains, F.col("best.c")).otherwise(F.col("now")).alias("c"), gains.alias("gains"))
+            last, state = state, scratch.write(moved)
+            if last is not top:
+                scratch.drop(last)
+            if sweep % 2 == 0 and sweep + 1 < sweeps:
+                continue
             x = state.select("node", "c")
             inner = g.join(x.withColumnRenamed("node", "a").withColumnRenamed("c", "ca"), "a").join(x.withColumnRenamed("node", "b").withColumnRenamed("c", "cb"), "b").filter("ca = cb").agg(F.sum("w")).first()[0] or 0.0
-            loss = state.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] / (m2 * m2)
-            q = inner / m2 - loss
-            if q_level is not None and q - q_level < eps and sweep > 2:
+            s = state.groupBy("c").agg(F.sum("k").alias("t"), F.count_if("gains").alias("n")).agg(F.sum(F.col("t") * F.col("t")), F.sum("n")).first()
+            q = inner / m2 - s[0] / (m2 * m2)
+            idle = 0 if q_level is None or q - q_level >= eps else idle + 1
+            if q_level is None or q > q_level:
+                q_level, top = q, state
+            if not s[1] or idle == 2:
                 break
-            q_level = q
+        else:
+            warnings.warn(f"louvain: level {level} was cut at {sweeps} half sweeps, modularity {q_level}", stacklevel=2)
+        state = top
         if q_level is None or q_level - best < eps:
             break
         best = q_level
@@ -293,6 +307,8 @@ def louvain(edges: DataFrame, scratch: Scratch | None = None, rounds: int = 20,
         label = scratch.write(label.join(x.select(F.col("node").alias("community"), "c"), "community").select("node", F.col("c").alias("community")))
         g = scratch.write(g.join(x.withColumnRenamed("node", "a").withColumnRenamed("c", "ca"), "a").join(x.withColumnRenamed("node", "b").withColumnRenamed("c", "cb"), "b")
                           .groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+    else:
+        warnings.warn(f"louvain: cut at {rounds} levels, modularity {best}", stacklevel=2)
     names = label.groupBy("community").agg(F.min("node").alias("name"))
     return label.join(names, "community").select("node", F.col("name").alias("community"))
 

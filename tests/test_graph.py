@@ -127,6 +127,55 @@ def test_two_cliques_are_two_communities(spark):
     assert G.modularity(e, label) > 0.3
 
 
+def settled(pairs):
+    """Communities of a sequential run: a level ends when no node gains, as in the survey's G8."""
+    w = {}
+    for a, b in pairs:
+        if a != b:
+            w.setdefault(a, {}).setdefault(b, 0.0)
+            w.setdefault(b, {}).setdefault(a, 0.0)
+            w[a][b] += 1
+            w[b][a] += 1
+    m2 = sum(sum(x.values()) for x in w.values())
+    label = {n: n for n in w}
+    while True:
+        k = {n: sum(x.values()) for n, x in w.items()}
+        c, tot, any_moved, moved = {n: n for n in w}, dict(k), False, True
+        while moved:
+            moved = False
+            for n in w:
+                tot[c[n]] -= k[n]
+                to = {c[n]: 0.0}
+                for b, x in w[n].items():
+                    if b != n:
+                        to[c[b]] = to.get(c[b], 0.0) + x
+                gain = {x: v - tot[x] * k[n] / m2 for x, v in to.items()}
+                best = max(gain, key=lambda x: (gain[x], x == c[n]))
+                if gain[best] > gain[c[n]] + 1e-9:
+                    c[n], moved, any_moved = best, True, True
+                tot[c[n]] += k[n]
+        if not any_moved:
+            return label
+        label = {n: c[x] for n, x in label.items()}
+        up = {}
+        for a, x in w.items():
+            for b, v in x.items():
+                to = up.setdefault(c[a], {})
+                to[c[b]] = to.get(c[b], 0.0) + v
+        w = up
+
+
+def test_louvain_settles_and_says_when_it_is_cut(spark, recwarn):
+    rng = np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (700, 2)) if a // 10 == b // 10 or rng.random() < 0.1]
+    e = edges(spark, pairs)
+    want = G.modularity(e, spark.createDataFrame(list(settled(pairs).items()), "node bigint, community bigint"))
+    assert G.modularity(e, G.louvain(e)) > want - 0.01
+    assert not [w for w in recwarn if "louvain" in str(w.message)]
+    with pytest.warns(UserWarning, match="cut at 2 half sweeps"):
+        G.louvain(e, sweeps=2)
+
+
 def test_louvain_without_edges(spark):
     assert G.louvain(edges(spark, [(1, 1)])).count() == 0
 
