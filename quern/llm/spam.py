@@ -27,6 +27,8 @@ MOST = 0.5
 
 #: so many links, mentions and tags at least make a list
 FEW_LINKS = 4
+#: a run of CJK characters up to this long is a word
+SHORT_RUN = 6
 #: fewer words than these string nothing together
 FEW_WORDS = 5
 
@@ -49,11 +51,32 @@ _CHUNKS = re.compile(r"(?<=[.!?…])[ \t]+|(?<=[。！？])|[\r\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _KANA = re.compile(r"[぀-ゟ]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
+_RUN = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W\d_぀-ヿ㐀-鿿]+")
+_PART = re.compile(r"[぀-ゟ]+|[^぀-ゟ]+")
 _LOG = re.compile(r"\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\d\d:\d\d:\d\d)")
 _LABEL = re.compile(r"^\s*(?:[#>*\-–•]+\s+|\d+[.)]\s+)?(?:[^\s:]+(?: [^\s:]+){0,3}:\s+)?")
 _TAGGED = re.compile(r"(?<!\S)[A-Z]{2,}-\d+\b|(?<!\S)\d+\.\d\d(?!\S)")
 
 
+def _cjk_words(text: str) -> tuple[list[str], int]:
+    """Words of a piece with CJK characters, and the kana that stand between words. Runs of up to ``SHORT_RUN`` characters
+    and Latin words stay whole. Longer runs are cut where kana begin or end, and the kana become "", as function words; runs
+    of kana alone become character bigrams."""
+    words, kana = [], 0
+    for run in _RUN.findall(text):
+        if len(run) <= SHORT_RUN or not _CJK.match(run):
+            words.append(run)
+            continue
+        parts = _PART.findall(run)
+        k = len(_KANA.findall(run))
+        kana += k
+        if k == len(run):
+            words += [run[i:i + 2] for i in range(len(run) - 1)]
+        else:
+            words += ["" if _KANA.match(x) else x for x in parts]
+    return words, kana
+
+
 def page_features(text: str | None) -> tuple[float, ...]:
     """(links, outside, repeats, narrow, bare), each 0 to 1; a text without words or links is all zeros.
 
@@ -82,21 +105,21 @@ def page_features(text: str | None) -> tuple[float, ...]:
                 rest = _LINKISH.sub(" ", chunk)
                 links += linked
                 n_links += len(found)
-        if not rest.isascii() and (cjk := len(_CJK.findall(rest))):
-            if cjk >= 2:
-                kana = len(_KANA.findall(rest))
-                sentence = kana * 6 >= cjk
-                outside += 0 if sentence else size - linked
-                n_words += cjk // 2
-                n_function += kana // 2
-                continue
         if _LOG.match(chunk):
             continue
-        low = _WORD.findall(rest.lower())
+        phrase = None
+        if not rest.isascii() and (cjk := len(_CJK.findall(rest))) >= 2:
+            phrase = len(_KANA.findall(rest)) * 6 >= cjk
+            low, between = _cjk_words(rest.lower())
+            # of the words below only the Latin ones count as words, the others by their characters
+            n_words += cjk // 2 - sum(1 for w in low if not w or _CJK.match(w))
+            n_function += between // 2 - low.count("")
+        else:
+            low = _WORD.findall(rest.lower())
         f = 0
         last = None
         for w in low:
-            if w in FUNCTION_WORDS:
+            if not w or w in FUNCTION_WORDS:
                 f += 1
                 last = None
             else:
@@ -106,12 +129,12 @@ def page_features(text: str | None) -> tuple[float, ...]:
                 last = w
         n_words += len(low)
         n_function += f
-        pieces.append((size, linked, low, f, rest))
+        pieces.append((size, linked, low, f, rest, phrase))
     total = sum(content.values())
     often = {p for p, k in pairs.items() if k >= 3 and k * 200 >= total}
     hot = {w for w, k in content.items() if k >= 4 and k * 25 >= total}
     in_pairs = 0
-    for size, linked, low, f, rest in pieces:
+    for size, linked, low, f, rest, phrase in pieces:
         n = len(low)
         own = size - linked
         held = 0
@@ -124,6 +147,9 @@ def page_features(text: str | None) -> tuple[float, ...]:
         end = rest.rstrip()[-1:]
         marks = rest.count(",") + rest.count(";") + rest.count("|") + rest.count("*") + rest.count("•") + rest.count("»") + rest.count(" / ") + rest.count(" - ")
         stuffed = 4 * held >= n - f and held > 0 or len(hot) > 1 and 5 * sum(w in hot for w in low) >= 3 * (n - f) > 0
+        if phrase is not None:
+            outside += 0 if phrase and not stuffed else own
+            continue
         ended = end in ".!?…:\"”)" or end in "。！？"
         common = len(set(low)) * 10 < n * 6 and n >= 8
         tagged = len(_TAGGED.findall(rest)) >= 1 and f == 0

@@ -45,6 +45,18 @@ def test_cases_and_others(spark):
     assert not wrong and len(got) == len(rows)
 
 
+def test_japanese_keywords(spark):
+    rng = random.Random(4)
+    pick = lambda *of: rng.choice(of)
+    sentence = lambda: f"{pick('静かな', '古い', '長い', '明るい', '寒い', '丸い')}{pick('川', '橋', '庭', '手紙', '時計', '図書館')}{pick('は', 'も', 'が')}{pick('短い', '暗い', '新しい', '珍しい')}{pick('夏', '窓', '傘', '市場', '財布')}を{pick('渡る', '待つ', '見つける', '描く', '直す')}。"
+    keys = ["やすい くつ おすすめ", "かばん つうはん", "とけい さいやすね", "安い 靴 おすすめ"]
+    cases = [" ".join(rng.choices(keys, k=40)), "\n".join(" ".join(rng.choices(keys, k=3)) for _ in range(20)), "cheap くつ おすすめ cheap かばん " * 25, "安い靴おすすめ通販" * 30, "やすいくつおすすめつうはん" * 30]
+    fine = ["".join(sentence() for _ in range(rng.randint(1, 60))) for _ in range(200)] + ["".join(f"\n2025-01-1{i % 10} 10:11:12 INFO 中継を保存した" for i in range(30))]
+    df = spark.createDataFrame([(i, t, "ja") for i, t in enumerate(cases + fine)], "doc bigint, text string, lang string")
+    assert sorted(r["doc"] for r in spam.spam_pages(df).filter("is_spam").collect()) == list(range(len(cases)))
+    assert all(0 <= x <= 1 for t in cases + fine for x in spam.page_features(t))
+
+
 def test_a_language_of_spam_alone_or_of_one_row(spark):
     df = spark.createDataFrame([(1, ", ".join(KEYS * 20), "xx"), (2, SENTENCES[0], "yy"), (3, None, None)], "doc bigint, text string, lang string")
     assert spam.spam_pages(df).count() == 3
