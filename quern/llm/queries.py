@@ -112,12 +112,14 @@ def p6_containers(spark, d):
 
 
 def p6_fill(spark, d):
-    """For each pack: containers, fewest any packing needs, tokens, and the share of space that is filled."""
+    """For each pack: containers, fewest any packing needs, tokens, the share of space that is filled; the program's
+    fractional containers, columns and knapsack steps, containers of its rounding and of a packing longest first."""
     rows = []
     for name, capacity, _, plan in _packs(spark, d):
         tokens = sum(k * sum(length * n for length, n in used.items()) for k, used in plan.fillings)
-        rows.append((name, capacity, plan.containers, plan.bound, tokens, tokens / (plan.containers * capacity) if plan.containers else None))
-    return spark.createDataFrame(rows, "pack_name string, capacity_tokens int, containers bigint, fewest bigint, tokens bigint, filled double")
+        rows.append((name, capacity, plan.containers, plan.bound, tokens, tokens / (plan.containers * capacity) if plan.containers else None,
+                     plan.value, plan.columns, plan.steps, plan.rounded, plan.greedy, plan.by))
+    return spark.createDataFrame(rows, "pack_name string, capacity_tokens int, containers bigint, fewest bigint, tokens bigint, filled double, program_value double, columns int, steps int, rounded bigint, longest_first bigint, packed_by string")
 
 
 # 7: a mixture of sources --------------------------------------------------------------------------------------------

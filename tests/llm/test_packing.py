@@ -20,8 +20,52 @@ def test_knapsack():
     for _ in range(20):
         lengths = np.unique(rng.integers(1, 40, 8))
         prices = rng.random(len(lengths))
-        used = packing.dearest_filling(lengths, prices, 57)
-        assert (used * lengths).sum() <= 57 and (used * prices).sum() == pytest.approx(brute_dearest(lengths, prices, 57))
+        best, pick = packing.room_values(lengths, prices, 57)
+        assert best[57] == pytest.approx(brute_dearest(lengths, prices, 57))
+        for i, used in enumerate(packing.fillings_with(lengths, pick, np.arange(len(lengths)), 57)):
+            assert used[i] >= 1 and (used * lengths).sum() <= 57
+            assert (used * prices).sum() == pytest.approx(prices[i] + brute_dearest(lengths, prices, 57 - lengths[i]))
+
+
+def planted(seed, bins, capacity, least, parts):
+    """Lengths of ``bins`` containers that can be filled without any room left."""
+    rng = np.random.default_rng(seed)
+    histogram = {}
+    for _ in range(bins):
+        cuts = np.sort(rng.choice(np.arange(1, capacity - least * parts), parts - 1, replace=False))
+        for n in np.diff(np.r_[0, cuts, capacity - least * parts]) + least:
+            histogram[int(n)] = histogram.get(int(n), 0) + 1
+    return histogram
+
+
+@pytest.mark.parametrize("seed, least, parts", [(1, 10, 4), (2, 200, 3), (3, 250, 3), (4, 150, 4)])
+def test_planted_containers_within_one_percent(seed, least, parts):
+    plan = packing.pack_histogram(planted(seed, 2000, 1000, least, parts), 1000)
+    assert plan.bound == 2000 and plan.rounded <= 2020 and plan.containers <= 2020
+    assert plan.value <= 2000 * 1.02 and plan.steps > 1 and plan.columns > 1
+
+
+@pytest.mark.parametrize("capacity", [64, 200])
+def test_program_covers_every_length(capacity):
+    rng = np.random.default_rng(capacity)
+    lengths = np.unique(rng.integers(1, capacity + 1, 40))
+    need = rng.integers(1, 500, len(lengths))
+    program = packing.solve_program(lengths, need, capacity)
+    covered = np.zeros(len(lengths))
+    for on, n, amount in program.columns:
+        assert (lengths[on] * n).sum() <= capacity and amount > 0
+        covered[on] += n * amount
+    assert (covered >= need * (1 - 1e-6)).all() and program.bound <= program.value + 1e-6 and program.steps > 1
+
+
+def test_program_decides_on_stored_documents(spark):
+    """On the stored tables the packing is the program's: many knapsack steps, many columns, no worse than longest first."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", token_count(F.col("text")).alias("n")).cache()
+    for capacity in (512, 2048, 8192):
+        _, plan = packing.pack(docs, "doc_id", "n", capacity)
+        assert plan.steps > 1 and plan.columns > 20 and plan.by == "program" and plan.rounded <= plan.greedy
+        assert plan.containers == plan.bound
+    docs.unpersist()
 
 
 @pytest.mark.parametrize("seed, capacity, top", [(1, 100, 100), (2, 64, 30), (3, 512, 512), (4, 10, 10), (5, 1000, 350)])
