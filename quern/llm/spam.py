@@ -1,9 +1,10 @@
 """Keyword-stuffed and link-list pages, as outliers of a robust Mahalanobis distance.
 
-Each text becomes a handful of density, repetition, entropy and function-word features. For every language a robust
-centre (medians) and scatter (covariance of the rows near the centre) are taken from mergeable aggregates over all
-documents. A page is flagged if it lies far from the centre of its language *and* in a spam-ward direction: towards
-more links and keywords, more repetition, fewer function words, with most of its text outside sentences.
+Each text becomes five graded features of density, repetition, entropy and function words. For every language a robust
+centre and scatter are taken over all documents: medians first, then means and covariances of the rows that lie near,
+taken anew until they settle, all from mergeable sums. A page is flagged if it lies far from the centre of its language
+*and* the way there points to spam, that is towards more links, less in sentences, more repetition, less entropy and
+fewer function words, in several of them together. Nothing else decides.
 """
 
 from __future__ import annotations
@@ -14,23 +15,27 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.session import Scratch
 
 FEATURES = ["links", "outside", "repeats", "narrow", "bare"]
-#: quantile 0.999 of chi-square with five degrees of freedom
+N = len(FEATURES)
+#: quantile 0.999 of chi-square with five degrees of freedom: a page is far beyond it
 FAR = 20.515
-#: a page is a case if more than this share of its text stands outside sentences
-MOST = 0.5
-
-#: so many links, mentions and tags at least make a list
-FEW_LINKS = 4
+#: rows within the quantile 0.99 make up centre and scatter
+NEAR = 15.086
+#: a page points to spam within 60 degrees of equal deviations in all features
+TOWARD = 0.5
+#: every page is credited with so many words of ordinary text, so that short ones weigh little
+CREDIT = 6.0
+#: deviation that every feature has at least; rows of all languages that a language's own model is drawn to
+WIDTH, SHARED = 0.1, 100.0
+#: how often centre and scatter are taken anew
+TURNS = 3
 #: a run of CJK characters up to this long is a word
 SHORT_RUN = 6
-#: fewer words than these string nothing together
-FEW_WORDS = 5
 
 FUNCTION_WORDS = frozenset("""
 the a an and or of to in on at for from with by is are was were be been that this these those it its as but not no than
@@ -44,7 +49,7 @@ zum zur im am auf aus bei für nach wenn dass ich du er sie es wir ihr mein dein
 os as um uma uns umas e ou do da dos das na nos nas em com foi são não mas mais muito seu sua meu minha há ninguém ontem
 ainda além outro les une et ou à au aux dans avec pour qui est sont ne pas mais très son sa mon ma ton il elle hier
 personne sauf depuis encore mieux chaque trop autre car
-""".split())
+""".split()) | {""}
 
 _LINKISH = re.compile(r"<a\s[^>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\n]*\)|(?:https?|wss?)://\S+|nostr:\w+|(?<!\w)@\w+|#[\w-]+")
 _CHUNKS = re.compile(r"(?<=[.!?…])[ \t]+|(?<=[。！？])|[\r\n]+")
@@ -55,6 +60,7 @@ _RUN = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W\d_぀-ヿ㐀-鿿]+")
 _PART = re.compile(r"[぀-ゟ]+|[^぀-ゟ]+")
 _LOG = re.compile(r"\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\d\d:\d\d:\d\d)")
 _LABEL = re.compile(r"^\s*(?:[#>*\-–•]+\s+|\d+[.)]\s+)?(?:[^\s:]+(?: [^\s:]+){0,3}:\s+)?")
+_MARKS = (",", ";", "|", "*", "•", "»", " / ", " - ")
 _TAGGED = re.compile(r"(?<!\S)[A-Z]{2,}-\d+\b|(?<!\S)\d+\.\d\d(?!\S)")
 
 
@@ -77,97 +83,90 @@ def _cjk_words(text: str) -> tuple[list[str], int]:
     return words, kana
 
 
+def _between(x: float, lo: float, hi: float) -> float:
+    """0 up to ``lo``, 1 from ``hi`` on, in proportion between them."""
+    return min(1.0, max(0.0, (x - lo) / (hi - lo)))
+
+
 def page_features(text: str | None) -> tuple[float, ...]:
     """(links, outside, repeats, narrow, bare), each 0 to 1; a text without words or links is all zeros.
 
-    links: share of characters in links, mentions and tags. outside: share in pieces that are no sentences (links only
-    from ``FEW_LINKS`` on, or if there is nothing else). repeats:
-    share of content words in word pairs that recur. narrow: 1 less the entropy of content words against its maximum.
-    bare: how far the share of function words falls short of 0.3."""
+    links: links, mentions and tags for all words and links. outside: the share of words and links that stand outside
+    sentences, each piece between line ends and full stops counted by how unlike a sentence it is. repeats: share of
+    content words in word pairs that recur. narrow: 1 less the entropy of content words against its maximum. bare: how
+    far the share of function words falls short of 0.3. ``CREDIT`` words are added to every denominator."""
     if not text or not text.strip():
-        return (0.0,) * 5
-    solid = outside = links = n_links = 0
-    n_words = n_function = 0
-    content: Counter = Counter()
+        return (0.0,) * N
+    words: Counter = Counter()
     pairs: Counter = Counter()
     pieces = []
+    n_links = n_all = n_function = 0
+    plain = FUNCTION_WORDS.__contains__
     for chunk in _CHUNKS.split(text):
         chunk = chunk.strip()
         if not chunk:
             continue
-        size = len(chunk) - chunk.count(" ")
-        solid += size
-        linked = 0
-        rest = chunk
+        linked, rest = 0, chunk
         if "#" in chunk or "@" in chunk or ":" in chunk or "<" in chunk or "](" in chunk:
-            if found := _LINKISH.findall(chunk):
-                linked = sum(len(m) - m.count(" ") for m in found)
-                rest = _LINKISH.sub(" ", chunk)
-                links += linked
-                n_links += len(found)
-        if _LOG.match(chunk):
-            continue
+            rest, linked = _LINKISH.subn(" ", chunk)
         phrase = None
         if not rest.isascii() and (cjk := len(_CJK.findall(rest))) >= 2:
-            phrase = len(_KANA.findall(rest)) * 6 >= cjk
+            # characters of CJK words count in twos, kana between them as function words
+            phrase = len(_KANA.findall(rest)) / cjk
             low, between = _cjk_words(rest.lower())
-            # of the words below only the Latin ones count as words, the others by their characters
-            n_words += cjk // 2 - sum(1 for w in low if not w or _CJK.match(w))
-            n_function += between // 2 - low.count("")
+            n = cjk // 2 + sum(1 for w in low if w and not _CJK.match(w))
+            f = min(n, between // 2)
         else:
             low = _WORD.findall(rest.lower())
-        f = 0
-        last = None
-        for w in low:
-            if not w or w in FUNCTION_WORDS:
-                f += 1
-                last = None
-            else:
-                content[w] += 1
-                if last is not None:
-                    pairs[last, w] += 1
-                last = w
-        n_words += len(low)
+            n, f = len(low), sum(map(plain, low))
+        n_all += n + linked
+        n_links += linked
         n_function += f
-        pieces.append((size, linked, low, f, rest, phrase))
-    total = sum(content.values())
-    often = {p for p, k in pairs.items() if k >= 3 and k * 200 >= total}
-    hot = {w for w, k in content.items() if k >= 4 and k * 25 >= total}
-    in_pairs = 0
-    for size, linked, low, f, rest, phrase in pieces:
-        n = len(low)
-        own = size - linked
-        held = 0
-        if often and n > 1:
-            held = sum(1 for p in zip(low, low[1:]) if p in often)
-            in_pairs += min(2 * held, n - f)
-        if own <= 0 or n == 0:
-            outside += own
+        logged = _LOG.match(chunk) is not None
+        if not logged:
+            words.update(low)
+            if phrase is not None:  # kana between words do not part them
+                low = [w for w in low if w]
+            pairs.update(zip(low, low[1:]))
+        pieces.append((n, f, linked, low, rest, phrase, logged))
+    total = sum(k for w, k in words.items() if w not in FUNCTION_WORDS)
+    often = {p for p, k in pairs.items() if k >= 3 and k * 200 >= total and not (plain(p[0]) or plain(p[1]))}
+    hot = {w for w, k in words.items() if k >= 4 and k * 25 >= total and not plain(w)}
+    outside, in_pairs = 0.0, 0
+    for n, f, linked, low, rest, phrase, logged in pieces:
+        if logged or not n:
+            outside += linked
             continue
-        end = rest.rstrip()[-1:]
-        marks = rest.count(",") + rest.count(";") + rest.count("|") + rest.count("*") + rest.count("•") + rest.count("»") + rest.count(" / ") + rest.count(" - ")
-        stuffed = 4 * held >= n - f and held > 0 or len(hot) > 1 and 5 * sum(w in hot for w in low) >= 3 * (n - f) > 0
-        if phrase is not None:
-            outside += 0 if phrase and not stuffed else own
-            continue
-        ended = end in ".!?…:\"”)" or end in "。！？"
-        common = len(set(low)) * 10 < n * 6 and n >= 8
-        tagged = len(_TAGGED.findall(rest)) >= 1 and f == 0
-        sentence = not stuffed and not tagged and not (linked > own and f * 4 < n) and (
-            f * 6 >= n and not common or ended and n <= 16 and marks <= 3 and not common and n >= 2)
-        outside += 0 if sentence else own
-    # a few links beside sentences are no list of links
-    if n_links >= FEW_LINKS or links and outside + links >= solid:
-        outside += links
-    elif n_words < FEW_WORDS:
-        outside = 0
+        own = max(1, len(low) - sum(map(plain, low)))
+        held = sum(map(often.__contains__, zip(low, low[1:]))) if often else 0
+        in_pairs += min(2 * held, own)
+        stuffed = _between(held / own, 0.125, 0.25)
+        if len(hot) > 1:
+            stuffed = max(stuffed, _between(sum(map(hot.__contains__, low)) / own, 0.4, 0.6))
+        last = rest.rstrip()[-1:]
+        ended = last in ".!?…:\"”)" or last in "。！？"
+        if phrase is not None:  # kana and an end make a sentence even of common words; without end only a short one is
+            like = _between(phrase, 0.08, 0.16) * (1.0 if ended else 1 - _between(n, 24, 72))
+            stuffed *= 1 - _between(phrase, 0.16, 0.32) if ended else 1.0
+        else:
+            like = _between(f / n, 0.0, 1 / 6)
+            if like < 1 and ended:  # a short sentence may do without function words
+                marks = sum(map(rest.count, _MARKS))
+                like = max(like, (1 - _between(marks / n, 0.15, 0.3)) * (1 - _between(n, 16, 28)))
+            if n > 2:
+                like *= _between(len(set(low)) / n, 0.45, 0.6)
+            if not f and _TAGGED.search(rest):
+                like = 0.0
+            if linked:
+                like *= 1 - _between(linked / (n + linked), 0.4, 0.6)
+        outside += n * (1 - like * (1 - stuffed)) + linked
     narrow = 0.0
-    if total >= 8:
-        entropy = -sum(k / total * math.log(k / total) for k in content.values())
-        narrow = 1 - entropy / math.log(total)
-    repeats = in_pairs / total if total else 0.0
-    bare = max(0.0, 0.3 - n_function / n_words) / 0.3 if n_words else (1.0 if links else 0.0)
-    return links / solid, outside / solid, min(1.0, repeats), narrow, bare
+    if total > 1:
+        entropy = math.log(total) - sum(k * math.log(k) for w, k in words.items() if k > 1 and w not in FUNCTION_WORDS) / total
+        narrow = (1 - entropy / math.log(total)) * total / (total + CREDIT)
+    size = n_all + CREDIT
+    bare = max(0.0, 0.3 - n_function / n_all) / 0.3 * n_all / size if n_all else 0.0
+    return n_links / size, outside / size, min(1.0, in_pairs / (total + CREDIT)), narrow, bare
 
 
 def features(df: DataFrame, text: str, lang: str, keep: list[str] | None = None) -> DataFrame:
@@ -178,59 +177,77 @@ def features(df: DataFrame, text: str, lang: str, keep: list[str] | None = None)
 
     @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([page_features(t if isinstance(t, str) else None) for t in texts], columns=FEATURES)
+        known: dict[str | None, tuple[float, ...]] = {}
+        for t in texts.unique():  # equal texts of a batch once
+            known[t] = page_features(t if isinstance(t, str) else None)
+        return pd.DataFrame([known[t] for t in texts], columns=FEATURES)
 
     code = F.lower(F.substring(F.trim(F.col(lang)), 1, 2))
     return df.select(*keep, F.coalesce(F.when(code.rlike("^[a-z]{2}$"), code), F.lit("--")).alias("page_lang"), run(F.col(text)).alias("_f")).select(
         *keep, "page_lang", *[F.col(f"_f.{f}").alias(f) for f in FEATURES])
 
 
-def robust_models(feats: DataFrame, floor: float = 0.05) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Centre and inverse scatter of each language (a language code has two letters, so there are few).
-
-    The centre is the vector of medians; the scatter is the covariance of the rows within three robust deviations of
-    it in every feature (at least ``floor`` wide, so that features that are constant on ordinary pages stay usable).
-    Both come from mergeable aggregates over all rows."""
-    q = feats.groupBy("page_lang").agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 2000).alias(f) for f in FEATURES]).collect()
-    centre = {r["page_lang"]: np.array([r[f][1] for f in FEATURES]) for r in q}
-    width = {r["page_lang"]: np.array([max((r[f][2] - r[f][0]) / 1.349, floor) for f in FEATURES]) for r in q}
-    if not centre:
-        return {}
-    at = lambda values, i: F.coalesce(*[F.when(F.col("page_lang") == k, F.lit(float(v[i]))) for k, v in values.items()])
-    dev = feats
-    for i, f in enumerate(FEATURES):
-        dev = dev.withColumn(f"d{i}", F.col(f) - at(centre, i)).withColumn(f"w{i}", at(width, i))
-    near = dev
-    for i in range(len(FEATURES)):
-        near = near.filter(F.abs(f"d{i}") <= 3 * F.col(f"w{i}"))
-    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
-    sums = near.groupBy("page_lang").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}{j}") for i, j in pairs]).collect()
-    models = {}
-    for r in sums:
-        cov = np.zeros((len(FEATURES),) * 2)
-        for i, j in pairs:
-            cov[i, j] = cov[j, i] = r[f"s{i}{j}"] / max(r["n"], 1)
-        models[r["page_lang"]] = (centre[r["page_lang"]], np.linalg.inv(cov + np.eye(len(FEATURES)) * floor**2))
-    for lang, c in centre.items():
-        models.setdefault(lang, (c, np.diag(1 / width[lang] ** 2)))
-    return models
+Model = tuple[np.ndarray, np.ndarray]
 
 
-def score_pages(feats: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """``feats`` with ``distance`` (squared, robust), ``spamward`` (the part of it that points to spam, 0 to 1) and
-    ``is_spam``. All in built-in expressions. A text without content is at the features' zero and never spam."""
-    n = len(FEATURES)
-    if not models:
-        return feats.select("*", F.lit(0.0).alias("distance"), F.lit(0.0).alias("spamward"), F.lit(False).alias("is_spam"))
-    pick = lambda of: F.coalesce(*[F.when(F.col("page_lang") == k, F.array(*[F.lit(float(x)) for x in of(m)])) for k, m in models.items()])
-    out = feats.withColumn("_c", pick(lambda m: m[0])).withColumn("_p", pick(lambda m: m[1].ravel()))
-    d = [F.col(f) - F.col("_c")[i] for i, f in enumerate(FEATURES)]
-    up = [F.greatest(x, F.lit(0.0)) for x in d]
-    norm = lambda v: sum(v[i] * v[j] * F.col("_p")[i * n + j] for i in range(n) for j in range(n))
-    size, toward = sum(x * x for x in d), sum(x * x for x in up)
-    out = out.withColumn("distance", norm(d)).withColumn("spamward", F.coalesce(F.try_divide(toward, size), F.lit(0.0)))
-    spam = (F.col("distance") > FAR) & (F.col("spamward") > 0.8) & (F.col("outside") > MOST)
-    return out.withColumn("is_spam", spam).drop("_c", "_p")
+def _table(spark: SparkSession, models: dict[str, Model]) -> DataFrame:
+    """Centre and inverse scatter by language, row by row. A code has two letters or is ``--``: at most 677 rows, which is
+    why the table may be broadcast."""
+    rows = [(k, [float(x) for x in c], [float(x) for x in np.linalg.inv(s).ravel()], [float(x) for x in np.sqrt(np.diag(s))]) for k, (c, s) in models.items()]
+    return F.broadcast(spark.createDataFrame(rows, "page_lang string, _centre array<double>, _inverse array<double>, _width array<double>"))
+
+
+def score_pages(feats: DataFrame, models: dict[str, Model]) -> DataFrame:
+    """``feats`` with ``distance`` (squared Mahalanobis distance from the centre of the language), ``spamward`` (cosine of
+    the deviation, each feature in its own width, with equal deviations in all: 1 is straight to spam) and ``is_spam``."""
+    spark = feats.sparkSession
+    x = feats.join(_table(spark, models), "page_lang", "left") if models else feats.withColumn("_centre", F.lit(None).cast("array<double>")).withColumn(
+        "_inverse", F.lit(None).cast("array<double>")).withColumn("_width", F.lit(None).cast("array<double>"))
+    x = x.withColumn("_d", F.zip_with(F.array(*FEATURES), "_centre", lambda a, b: a - b)).withColumn("_z", F.zip_with("_d", "_width", lambda a, b: a / b))
+    d, p, z, zero = F.col("_d"), F.col("_inverse"), F.col("_z"), F.lit(0.0)
+    cells = F.sequence(F.lit(0), F.lit(N * N - 1))
+    distance = F.aggregate(cells, zero, lambda t, i: t + F.get(d, F.floor(i / N).cast("int")) * F.get(d, i % N) * F.get(p, i))
+    norm = F.sqrt(F.aggregate(z, zero, lambda t, v: t + v * v) * N)
+    spamward = F.coalesce(F.try_divide(F.aggregate(z, zero, lambda t, v: t + v), norm), zero)
+    out = x.withColumn("distance", F.coalesce(distance, zero)).withColumn("spamward", spamward)
+    return out.withColumn("is_spam", (F.col("distance") > FAR) & (F.col("spamward") > TOWARD)).drop("_centre", "_inverse", "_width", "_d", "_z")
+
+
+def robust_models(feats: DataFrame) -> dict[str, Model]:
+    """Centre and scatter of each language (few, see ``_table``), from all rows.
+
+    The start is the medians with a scatter of ``WIDTH``, widened by the quartiles. Each turn takes mean and covariance of
+    the rows within ``NEAR`` of the model before. ``WIDTH`` is added to every feature, so that features that are constant
+    on ordinary pages stay usable; and a language is drawn to the model of all languages by ``SHARED`` rows, so that one
+    of few rows has a model too."""
+    quarters = feats.groupBy("page_lang").agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 2000).alias(f) for f in FEATURES]).collect()
+    models = {}
+    for r in quarters:
+        width = np.array([(r[f][2] - r[f][0]) / 1.349 for f in FEATURES])
+        models[r["page_lang"]] = (np.array([r[f][1] for f in FEATURES]), np.diag(width**2 + WIDTH**2))
+    pairs = [(i, j) for i in range(N) for j in range(i, N)]
+    for _ in range(TURNS if models else 0):
+        near = score_pages(feats.select("page_lang", *FEATURES), models).filter(F.col("distance") <= NEAR)
+        sums = near.groupBy("page_lang").agg(
+            F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)],
+            *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i, j in pairs]).collect()
+        moments = {}
+        for r in sums:
+            square = np.zeros((N, N))
+            for i, j in pairs:
+                square[i, j] = square[j, i] = r[f"p{i}{j}"]
+            moments[r["page_lang"]] = (r["n"], np.array([r[f"s{i}"] for i in range(N)]), square)
+        if not moments:
+            break
+        n, s, q = (sum(m[k] for m in moments.values()) for k in range(3))
+        centre = s / n
+        scatter = q / n - np.outer(centre, centre)
+        for lang in models:
+            own, s, q = moments.get(lang, (0, np.zeros(N), np.zeros((N, N))))
+            c = (s + SHARED * centre) / (own + SHARED)
+            spread = q - np.outer(s, s) / own if own else q
+            models[lang] = (c, (spread + SHARED * scatter) / (own + SHARED) + np.eye(N) * WIDTH**2)
+    return models
 
 
 def spam_pages(df: DataFrame, text: str = "text", lang: str = "lang", scratch: Scratch | None = None, keep: list[str] | None = None) -> DataFrame:

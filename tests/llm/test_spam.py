@@ -71,6 +71,33 @@ def test_distance_is_mahalanobis(spark):
     rng = np.random.default_rng(1)
     x = rng.random((50, 5))
     feats = spark.createDataFrame([("en", *map(float, r)) for r in x], "page_lang string, " + ", ".join(f"{f} double" for f in spam.FEATURES))
-    centre, inverse = np.full(5, 0.3), np.linalg.inv(np.cov(x.T))
-    got = [r["distance"] for r in spam.score_pages(feats, {"en": (centre, inverse)}).collect()]
-    assert got == pytest.approx([(r - centre) @ inverse @ (r - centre) for r in x])
+    centre, scatter = np.full(5, 0.3), np.cov(x.T)
+    got = spam.score_pages(feats, {"en": (centre, scatter)}).collect()
+    z = (x - centre) / np.sqrt(np.diag(scatter))
+    assert [r["distance"] for r in got] == pytest.approx([(r - centre) @ np.linalg.inv(scatter) @ (r - centre) for r in x])
+    assert [r["spamward"] for r in got] == pytest.approx(list(z.sum(1) / np.sqrt((z**2).sum(1) * 5)))
+
+
+def test_models_ignore_the_outliers(spark):
+    """A twentieth of far rows moves neither centre nor scatter much."""
+    rng = np.random.default_rng(2)
+    bulk, far = rng.normal(0.3, 0.05, (1900, 5)), rng.normal(0.9, 0.02, (100, 5))
+    frame = lambda x: spark.createDataFrame([("en", *map(float, r)) for r in x], "page_lang string, " + ", ".join(f"{f} double" for f in spam.FEATURES))
+    (c0, s0), (c1, s1) = spam.robust_models(frame(bulk))["en"], spam.robust_models(frame(np.r_[bulk, far]))["en"]
+    assert np.abs(c0 - c1).max() < 0.01 and np.abs(s0 - s1).max() < 0.002
+
+
+def test_distance_and_direction_both_decide(spark):
+    """On the stored pages leaving out either of the two flags other pages."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    r = spam.spam_pages(docs).select("is_spam", "distance", "spamward").toPandas()
+    both, far, toward = r.is_spam.sum(), (r.distance > spam.FAR).sum(), (r.spamward > spam.TOWARD).sum()
+    assert 0 < both < far and both < toward
+
+
+def test_no_jumps_with_size():
+    """A page that grows by one piece moves by little: no count switches a feature on or off."""
+    links = [f"https://a{i}.example/x" for i in range(30)]
+    for make in (lambda n: "\n".join(links[:n]), lambda n: ", ".join(KEYS[i % 5] for i in range(n)), lambda n: "A lamp is in the hall. " + " ".join(links[:n])):
+        seen = [spam.page_features(make(n))[1] for n in range(1, 30)]
+        assert all(-0.05 < b - a < 0.16 for a, b in zip(seen, seen[1:])), seen
