@@ -1,10 +1,10 @@
 """Per-key results where a handful of keys hold most of the rows.
 
 Exact selection over mergeable histograms. Rows collapse to counts of (key, value) before any shuffle; that table is
-spread by key *and* value, so a hot key is spread too. From it a pyramid of histograms is made, each level with bins
-4096 times as wide; a group of the pyramid has at most 4096 children, whatever the key. A rank is then resolved from
-the widest bins down: one bin is chosen by cumulative counts, its residual rank goes to its children, until bins hold
-single values. No task and no driver ever sees the values of a key.
+spread by key *and* value, so a hot key is spread too. A key of few different values is ranked as it is. For the others
+a histogram of the widest bins is made and refined: a rank picks one bin by cumulative counts, only the children of the
+picked bins are counted next, until bins hold single values. A bin has at most 4096 children, so no task and no driver
+ever sees the values of a hot key.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from quern.session import Scratch
 
 BITS = 12
+#: a key of more different values than a bin has children is refined
+FEW = 1 << BITS
 
 
 def _levels(lo: int | None, hi: int | None) -> int:
@@ -31,43 +33,52 @@ def key_quantiles(df: DataFrame, key: str, value: str, permille: list[int], min_
     """One row a key: ``key``, ``n_rows`` (as stored), ``n_values`` (not null) and ``q<permille>`` for each wanted
     quantile, the smallest value whose rank reaches ``ceil(n_values * permille / 1000)`` (the discrete rule).
 
-    Keys below ``min_share`` of all rows are left out; at most ``1 / min_share`` keys then remain, the only case in
-    which the key list is broadcast. Null keys give no row but count as rows; a key with null values only has null
-    quantiles; an empty table gives no row. Repeated rows count as often as they are stored. ``value`` is cast to
-    BIGINT. Other columns are never read, so their names may clash with anything.
+    Of the result, keys below ``min_share`` of all rows are left out. Null keys give no row but count as rows; a key with
+    null values only has null quantiles; an empty table gives no row. Repeated rows count as often as they are stored.
+    ``value`` is cast to BIGINT. Other columns are never read, so their names may clash with anything.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(value).cast("bigint").alias("v"))
-    # the histogram with one bin a key
-    total, lo, hi = rows.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
-    rows = rows.filter(F.col("key").isNotNull())
-    root = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), F.count("v").alias("n_values"))
-    rows = rows.filter(F.col("v").isNotNull())
-    if min_share > 0:
-        root = root.filter(F.col("n_rows") >= F.lit(min_share * total))
-        rows = rows.join(F.broadcast(root.select("key")), "key", "left_semi")
+    scratch = Scratch(df.sparkSession)
+    bins = df.select(F.col(key).alias("key"), F.col(value).cast("bigint").alias("bin")).groupBy("key", "bin").agg(F.count(F.lit(1)).alias("c"))
+    counts = scratch.write(bins)  # read once for each level, so written once
+    total, lo, hi = counts.agg(F.sum("c"), F.min(F.when(F.col("key").isNotNull(), F.col("bin"))), F.max(F.when(F.col("key").isNotNull(), F.col("bin")))).first()
+    named = counts.filter("key is not null")
+    root = scratch.write(named.groupBy("key").agg(F.sum("c").alias("n_rows"), F.sum(F.when(F.col("bin").isNotNull(), F.col("c")).otherwise(0)).alias("n_values"), F.count("bin").alias("n_bins")))
+    kept = root.filter(F.col("n_rows") >= F.lit(min_share * (total or 0))).select("key", "n_rows", "n_values")
     if not permille:
-        return root
-    height = _levels(lo, hi)
-    # read once for each level, so written once
-    level = Scratch(df.sparkSession).write(rows.groupBy("key", F.col("v").alias("bin")).agg(F.count(F.lit(1)).alias("c")))
-    pyramid = [level]
-    for _ in range(height):
-        level = level.groupBy("key", F.shiftright("bin", BITS).alias("bin")).agg(F.sum("c").alias("c"))
-        pyramid.append(level)
-    ranks = F.array(*[
-        F.struct(F.lit(p).alias("p"), (F.greatest(F.ceil(F.col("n_values") * p / F.lit(1000)).cast("bigint"), F.lit(1)) - 1).alias("rank"))
-        for p in permille
-    ])
-    state = root.filter("n_values > 0").select("key", F.explode(ranks).alias("r")).select("key", "r.p", "r.rank")
-    first = True
-    for level in reversed(pyramid):
-        bins = level.select("key", "bin", "c", F.shiftright("bin", BITS).alias("parent"))
-        on = ["key"] if first else ["key", "parent"]
-        # at the top a key has one or two bins, below at most 4096 for each rank sought
-        w = Window.partitionBy("key", "p").orderBy("bin")
-        seen = state.join(bins.drop("parent") if first else bins, on).withColumn("upto", F.sum("c").over(w))
-        state = seen.filter("upto > rank and upto - c <= rank").select(
-            "key", "p", (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank"), F.col("bin").alias("parent"))
-        first = False
-    found = state.groupBy("key").agg(*[F.max(F.when(F.col("p") == p, F.col("parent"))).alias(f"q{p}") for p in permille])
-    return root.join(found, "key", "left")
+        return kept
+    valued = named.filter("bin is not null")
+    hot = root.filter(F.col("n_bins") > FEW)
+    picks = lambda at: [F.max(F.when(F.col("p") == p, F.col(at))).alias(f"q{p}") for p in permille]
+    found = _few(valued.join(hot.select("key"), "key", "left_anti"), permille).unionByName(
+        _refined(valued.join(hot.select("key"), "key", "left_semi"), hot, permille, _levels(lo, hi), scratch).groupBy("key").agg(*picks("parent")))
+    return kept.join(found, "key", "left")
+
+
+def _rank(n, p: int):
+    """Rank sought, from 1, of ``n`` values."""
+    return F.greatest(F.ceil(n * p / F.lit(1000)).cast("bigint"), F.lit(1))
+
+
+def _few(counts: DataFrame, permille: list[int]) -> DataFrame:
+    """Quantiles of keys of at most ``FEW`` different values: such a key is one sort of no more rows than that."""
+    whole = Window.partitionBy("key")
+    ranked = counts.withColumn("n", F.sum("c").over(whole)).withColumn("upto", F.sum("c").over(whole.orderBy("bin")))
+    return ranked.groupBy("key").agg(*[F.min(F.when(F.col("upto") >= _rank(F.col("n"), p), F.col("bin"))).alias(f"q{p}") for p in permille])
+
+
+def _refined(counts: DataFrame, hot: DataFrame, permille: list[int], height: int, scratch: Scratch) -> DataFrame:
+    """(key, p, parent): the value of each rank sought, resolved from the widest bins down."""
+    ranks = F.array(*[F.struct(F.lit(p).alias("p"), (_rank(F.col("n_values"), p) - 1).alias("rank")) for p in permille])
+    state = hot.select("key", F.explode(ranks).alias("r")).select("key", "r.p", "r.rank", F.lit(None).cast("bigint").alias("parent"))
+    for level in range(height, -1, -1):
+        bins = counts.select("key", F.shiftright("bin", BITS * level).alias("bin"), "c")
+        if level < height:  # children of picked bins only, before anything is shuffled
+            path = state.select("key", "parent").distinct()
+            bins = bins.withColumn("parent", F.shiftright("bin", BITS)).join(path, ["key", "parent"], "left_semi")
+        bins = bins.groupBy("key", "bin").agg(F.sum("c").alias("c")).withColumn("above", F.shiftright("bin", BITS))
+        on = (F.col("s.key") == F.col("b.key")) & (F.lit(True) if level == height else F.col("s.parent") == F.col("b.above"))
+        w = Window.partitionBy("key", "p").orderBy("bin")  # at most 4096 bins, two at the top
+        seen = state.alias("s").join(bins.alias("b"), on).select("s.key", "p", "rank", "bin", "c").withColumn("upto", F.sum("c").over(w))
+        state = scratch.write(seen.filter("upto > rank and upto - c <= rank").select(
+            "key", "p", (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank"), F.col("bin").alias("parent")))
+    return state

@@ -9,11 +9,10 @@ from quern.sources.tables import table
 
 
 def p1_found(spark, d):
-    """Keys holding at least 2 percent of the rows, from the operator's per-key result."""
+    """Keys holding at least 2 percent of the rows: those of the operator's per-key medians, by the counts of their bins."""
     parts = []
     for name, key, value in (("seed_events", "pubkey", "created_at"), ("profile_followers", "uid", "follower")):
         found = hotkeys.key_quantiles(table(spark, d, name), key, value, [500], min_share=0.02)
-        found = found.filter("q500 is not null or n_values = 0")  # ranks resolved, or there is none to resolve
         parts.append(found.select(F.lit(f"{name}.{key}").alias("field_name"), F.col("key").cast("string").alias("key_value")))
     return parts[0].unionByName(parts[1])
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from quern.operators import hotkeys
 from quern.operators.hotkeys import key_quantiles
 from quern.operators.snapshots import follows_content, profile_change_details, snapshot_changes
 
@@ -94,3 +95,17 @@ def test_changes_against_brute_force(spark):
         a, b = {u: x for (n, u), x in best.items() if n == s - 1}, {u: x for (n, u), x in best.items() if n == s}
         want |= {(s, u, "added") for u in b.keys() - a.keys()} | {(s, u, "removed") for u in a.keys() - b.keys()} | {(s, u, "changed") for u in a.keys() & b.keys() if a[u] != b[u]}
     assert {(r["snapshot_no"], r["key"], r["change"]) for r in c.collect()} == want
+
+
+@pytest.mark.parametrize("few", [0, 3, 4096])
+def test_refinement_and_single_sorts_agree(spark, monkeypatch, few):
+    """Whether a key is refined or sorted as it is makes no difference; one key holds most rows, values are spread wide."""
+    monkeypatch.setattr(hotkeys, "FEW", few)
+    rng = random.Random(few)
+    data = [("hot", rng.choice([rng.randint(-5, 5), rng.randint(-10**12, 10**12), 4096, 4095, None])) for _ in range(2000)]
+    data += [(rng.choice(["a", "b", None]), rng.choice([rng.randint(0, 9), None])) for _ in range(200)] + [("void", None)]
+    got = {r["key"]: [r[f"q{p}"] for p in (1, 500, 900, 1000)] for r in key_quantiles(spark.createDataFrame(data, "k string, v bigint"), "k", "v", [1, 500, 900, 1000]).collect()}
+    for k in ("hot", "a", "b", "void"):
+        v = sorted(x for key, x in data if key == k and x is not None)
+        assert got[k] == [v[max(1, -(-len(v) * p // 1000)) - 1] if v else None for p in (1, 500, 900, 1000)]
+    assert len(got) == 4
