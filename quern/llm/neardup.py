@@ -16,6 +16,8 @@ from quern.session import Scratch
 
 WORD = r"([\p{L}\p{N}]+)"
 SKETCH_BITS = 128
+#: band rows a task joins, on average
+ROWS_A_TASK = 500_000
 
 
 def words(text: Column) -> Column:
@@ -53,9 +55,9 @@ def choose_bands(threshold: float, recall: float, most: int = 64) -> tuple[int,
     raise ValueError("no banding reaches this recall")
 
 
-def _sketch_floor(threshold: float, deviations: float = 3.2) -> int:
+def _sketch_floor(threshold: float, deviations: float = 4.0) -> int:
     """Equal bits of two one-bit sketches below which a pair is less similar than the threshold, by this many standard
-    deviations of the estimate."""
+    deviations of the estimate: of pairs at the threshold itself 0.003 % fall below it by chance."""
     p = (1 + threshold) / 2
     return math.floor(SKETCH_BITS * p - deviations * math.sqrt(SKETCH_BITS * p * (1 - p)))
 
@@ -113,16 +115,19 @@ class NearDuplicates:
     columns are not read. Rows with one id and equal tokens count once. Documents with
     equal token sets form one class, whatever their number; only classes are signed, banded and compared, so copies
     cost nothing beyond the first shuffle. A band shared by many classes is joined by a sort-merge join that AQE can
-    split, not gathered. Every candidate pair is verified on the full token sets; no cap is set anywhere. Recall is
-    that of the banding, precision is exact.
+    split, not gathered. Every candidate pair is verified on the full token sets; no cap is set anywhere. Precision is
+    exact. Recall is that of the banding, ``recall`` for a pair exactly at the threshold and higher above it, less the
+    0.003 % that the sketch may rule out there; ``sketch=False`` verifies every pair that shares a band instead.
     """
 
-    def __init__(self, docs: DataFrame, tokens: Column, threshold: float, recall: float = 0.95, least: int = 1, keep_sets: bool = True, scratch: Scratch | None = None):
-        """``keep_sets``: write the token sets of all documents once (short texts), or write the signatures only and
+    def __init__(self, docs: DataFrame, tokens: Column, threshold: float, recall: float = 0.95, least: int = 1, keep_sets: bool = True, scratch: Scratch | None = None,
+                 most: int = 64, sketch: bool = True):
+        """``most``: bands at most; more of them have more rows each, so that fewer unlike texts meet. ``keep_sets``: write the token sets of all documents once (short texts), or write the signatures only and
         make the sets of candidates again from ``docs`` (long texts, whose sets are larger than signatures)."""
         self.scratch = scratch or Scratch(docs.sparkSession)
         self.threshold, self.least, self.keep_sets, self.tokens = threshold, least, keep_sets, tokens
-        self.bands, self.rows = choose_bands(threshold, recall)
+        self.bands, self.rows = choose_bands(threshold, recall, most)
+        self.sketch = sketch
         self.raw = docs.filter(F.col("id").isNotNull())
         if keep_sets:
             # sizes are asked of the written sets: asked before, Spark would make each set twice, to test and to keep it
@@ -143,13 +148,23 @@ class NearDuplicates:
         return df.select(*kept, F.transform("tokens", lambda t: F.hash(t)).alias("tokens")).mapInArrow(_signer(self.bands, self.rows, self.least), schema)
 
     def candidates(self) -> DataFrame:
-        """Distinct (a, b), a < b, of class ids that share a band and whose sketches do not rule them out."""
+        """Distinct (a, b), a < b, of class ids that share a band and whose sketches do not rule them out; written. The tasks
+        of the join grow in number with its rows."""
+        spark = self.signed.sparkSession
         keyed = self.signed.select("cid", "s1", "s2", F.explode("keys").alias("key"))
         a, b = keyed.alias("a"), keyed.alias("b")
-        apart = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
-        near = apart <= SKETCH_BITS - _sketch_floor(self.threshold)
-        return a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") < F.col("b.cid")) & near).select(
-            F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
+        meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") < F.col("b.cid"))
+        if self.sketch:
+            apart = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
+            meet &= apart <= SKETCH_BITS - _sketch_floor(self.threshold)
+        pairs = a.join(b.hint("merge"), meet).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        rows = (self.classes if self.keep_sets else self.docs).count() * self.bands
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(int(before), -(-rows // ROWS_A_TASK))))
+        try:
+            return self.scratch.write(pairs)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
 
     def _sets(self, candidates: DataFrame) -> DataFrame:
         """(cid, cid2, tokens) of the classes of the candidates: of each the document with the smallest id."""
@@ -160,7 +175,7 @@ class NearDuplicates:
 
     def class_pairs(self) -> DataFrame:
         """Verified (a, a2, b, b2, common, total): pairs of classes at or above the threshold."""
-        candidates = self.candidates() if self.keep_sets else self.scratch.write(self.candidates())
+        candidates = self.candidates()
         sets = self.classes if self.keep_sets else self._sets(candidates)
         side = lambda x: sets.select(F.col("cid").alias(x), F.col("cid2").alias(f"{x}2"), F.col("tokens").alias(f"t{x}"))
         # sizes alone rule out many candidates before the second set is fetched
