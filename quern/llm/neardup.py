@@ -16,6 +16,8 @@ from quern.session import Scratch
 
 WORD = r"([\p{L}\p{N}]+)"
 SKETCH_BITS = 128
+#: a pair may fall so many standard deviations short in the sketch; one at the threshold does so by chance in this share
+DEVIATIONS, SKETCH_LOSS = 3.2, 0.0007
 #: band rows a task joins, on average
 ROWS_A_TASK = 500_000
 
@@ -55,11 +57,11 @@ def choose_bands(threshold: float, recall: float, most: int = 64) -> tuple[int,
     raise ValueError("no banding reaches this recall")
 
 
-def _sketch_floor(threshold: float, deviations: float = 4.0) -> int:
-    """Equal bits of two one-bit sketches below which a pair is less similar than the threshold, by this many standard
-    deviations of the estimate: of pairs at the threshold itself 0.003 % fall below it by chance."""
+def _sketch_floor(threshold: float) -> int:
+    """Equal bits of two one-bit sketches below which a pair is less similar than the threshold, but for the share
+    ``SKETCH_LOSS`` of pairs right at it."""
     p = (1 + threshold) / 2
-    return math.floor(SKETCH_BITS * p - deviations * math.sqrt(SKETCH_BITS * p * (1 - p)))
+    return math.floor(SKETCH_BITS * p - DEVIATIONS * math.sqrt(SKETCH_BITS * p * (1 - p)))
 
 
 def _signer(bands: int, rows: int, least: int = 1, seed: int = 20240229):
@@ -116,8 +118,8 @@ class NearDuplicates:
     equal token sets form one class, whatever their number; only classes are signed, banded and compared, so copies
     cost nothing beyond the first shuffle. A band shared by many classes is joined by a sort-merge join that AQE can
     split, not gathered. Every candidate pair is verified on the full token sets; no cap is set anywhere. Precision is
-    exact. Recall is that of the banding, ``recall`` for a pair exactly at the threshold and higher above it, less the
-    0.003 % that the sketch may rule out there; ``sketch=False`` verifies every pair that shares a band instead.
+    exact. ``recall`` is that of banding and sketch together for a pair exactly at the threshold, and higher above it;
+    ``sketch=False`` verifies every pair that shares a band instead.
     """
 
     def __init__(self, docs: DataFrame, tokens: Column, threshold: float, recall: float = 0.95, least: int = 1, keep_sets: bool = True, scratch: Scratch | None = None,
@@ -126,7 +128,7 @@ class NearDuplicates:
         make the sets of candidates again from ``docs`` (long texts, whose sets are larger than signatures)."""
         self.scratch = scratch or Scratch(docs.sparkSession)
         self.threshold, self.least, self.keep_sets, self.tokens = threshold, least, keep_sets, tokens
-        self.bands, self.rows = choose_bands(threshold, recall, most)
+        self.bands, self.rows = choose_bands(threshold, recall / (1 - SKETCH_LOSS) if sketch else recall, most)
         self.sketch = sketch
         self.raw = docs.filter(F.col("id").isNotNull())
         if keep_sets:

@@ -112,3 +112,23 @@ def test_bands_reach_the_recall():
 def test_least_tokens(spark, keep):
     df = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "a b"), (4, "a b")], "id bigint, text string")
     assert [tuple(r) for r in N.NearDuplicates(df, N.word_set(F.col("text")), 0.6, least=3, keep_sets=keep).pairs().collect()] == [(1, 2)]
+
+
+def test_sketch_loses_no_more_than_it_says():
+    """The share of pairs right at the threshold that fall below the floor, from the binomial distribution; and bands for both."""
+    from math import comb
+
+    for threshold in (0.5, 0.6, 0.8):
+        p = (1 + threshold) / 2
+        lost = sum(comb(N.SKETCH_BITS, k) * p**k * (1 - p) ** (N.SKETCH_BITS - k) for k in range(N._sketch_floor(threshold)))
+        bands, rows = N.choose_bands(threshold, 0.95 / (1 - N.SKETCH_LOSS))
+        assert lost < 2 * N.SKETCH_LOSS and (1 - (1 - threshold**rows) ** bands) * (1 - lost) >= 0.949
+
+
+def test_without_sketch_nothing_is_ruled_out(spark):
+    texts = [(f"{i}", " ".join(f"w{(i // 4) * 50 + j + (i % 4) * 2}" for j in range(20))) for i in range(80)]
+    docs = spark.createDataFrame(texts, "id string, text string")
+    pairs = lambda sketch: {tuple(r) for r in N.NearDuplicates(docs, N.word_set(F.col("text")), 0.6, sketch=sketch, recall=0.99).pairs().collect()}
+    sets = {i: set(t.split()) for i, t in texts}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    assert pairs(False) >= pairs(True) and pairs(False) <= want and len(pairs(False)) >= 0.95 * len(want) > 0
