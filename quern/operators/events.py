@@ -112,5 +112,27 @@ def newest_replaceable(events: DataFrame, kind: int) -> DataFrame:
     return rows.groupBy("pubkey", "d").agg(F.max_by(F.struct("lev_id", "created_at"), F.struct("created_at", "lev_id")).alias("r")).select("pubkey", "d", "r.*")
 
 
+def named_events(events: DataFrame, kind: int) -> DataFrame:
+    """(pubkey, id): the event ids that events of a kind name in their ``e`` tags, with the author who names them."""
+    t = events.filter(F.col("kind") == kind).select("pubkey", F.explode("tags").alias("t"))
+    return t.filter((F.get("t", F.lit(0)) == "e") & (F.size("t") >= 2)).select("pubkey", F.get("t", F.lit(1)).alias("id")).filter("id is not null")
+
+
+def deletion_requests(events: DataFrame) -> DataFrame:
+    """(pubkey, id) named by deletion requests (kind 5); a request counts for events of its own author only."""
+    return named_events(events, 5).filter("pubkey is not null")
+
+
 def delete_ids(events: DataFrame, gone: DataFrame) -> DataFrame:
-    return events.join(gone.select("id").distinct(), "id", "left_anti")
+    """``events`` without those named in ``gone``, by ``id``, and by ``pubkey`` too where ``gone`` has one."""
+    return events.join(gone.distinct(), gone.columns, "left_anti")
+
+
+def deletion_batches(gone: DataFrame, batch: int = 500) -> DataFrame:
+    """(batch, ids): distinct ids in batches of at most ``batch``, for a store that deletes by id; ids are ranked within
+    slices of their hash, so that no task sorts them all. A batch that a store refuses may be cut in two and tried again."""
+    ids = gone.select("id").filter("id is not null").distinct()
+    ids = ids.withColumn("slice", F.spark_partition_id())
+    ranked = ids.withColumn("k", F.row_number().over(Window.partitionBy("slice").orderBy("id")) - 1)
+    return ranked.groupBy("slice", F.floor(F.col("k") / batch).alias("part")).agg(F.sort_array(F.collect_list("id")).alias("ids")).select(
+        F.concat_ws("-", "slice", "part").alias("batch"), "ids")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_A_BUCKET = 200_000
@@ -25,6 +25,15 @@ def _differences(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[
     return b[0][~inside], a[0][~kept], b[0][own[differs]]
 
 
+def _newest(version: str, payload: Column) -> list[Column]:
+    """What orders the rows of a key in a snapshot: the version, null lowest, then two hashes of the record. The largest
+    counts, in the changes and in their details alike."""
+    return [
+        F.col(version).isNotNull().alias("has"), F.coalesce(F.col(version).cast("bigint"), F.lit(0)).alias("v"),
+        F.xxhash64(payload, F.lit(1)).alias("h1"), F.xxhash64(F.lit("salt"), payload).alias("h2"),
+    ]
+
+
 def snapshot_changes(df: DataFrame, snapshot: str, key: str, version: str, content: list) -> DataFrame:
     """``(snapshot_no INT, key BIGINT, change STRING)``: what each snapshot added, removed or changed against the one
     before it.
@@ -41,10 +50,7 @@ def snapshot_changes(df: DataFrame, snapshot: str, key: str, version: str, conte
     payload = F.struct(*content)
     compact = df.filter(F.col(snapshot).isNotNull() & F.col(key).isNotNull()).select(
         F.col(snapshot).cast("int").alias("s"), F.col(key).cast("bigint").alias("k"),
-        F.struct(
-            F.col(version).isNotNull().alias("has"), F.coalesce(F.col(version).cast("bigint"), F.lit(0)).alias("v"),
-            F.xxhash64(payload, F.lit(1)).alias("h1"), F.xxhash64(F.lit("salt"), payload).alias("h2"),
-        ).alias("r"),
+        F.struct(*_newest(version, payload)).alias("r"),
     )
     numbers = compact.groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()
     order = sorted(r["s"] for r in numbers)
@@ -85,8 +91,8 @@ def profile_change_details(snapshots: DataFrame, changes: DataFrame) -> DataFram
     values = (
         snapshots.select("snapshot_no", "uid", "kind3createdat", "follows").join(wanted, ["snapshot_no", "uid"], "left_semi")
         .groupBy("snapshot_no", "uid")
-        .agg(F.max(F.struct(F.col("kind3createdat").isNotNull().alias("has"), F.col("kind3createdat").alias("v"), uids.alias("f"))).alias("r"))
-        .select("snapshot_no", "uid", F.col("r.v").alias("v"), F.col("r.f").alias("f"))
+        .agg(F.max(F.struct(*_newest("kind3createdat", F.struct(*follows_content())), uids.alias("f"))).alias("r"))
+        .select("snapshot_no", "uid", F.when(F.col("r.has"), F.col("r.v")).alias("v"), F.col("r.f").alias("f"))
     )
     new = values.select("snapshot_no", "uid", F.col("v").alias("new_kind3"), F.col("f").alias("new_f"))
     old = values.select(F.col("snapshot_no").alias("prior"), "uid", F.col("v").alias("old_kind3"), F.col("f").alias("old_f"))

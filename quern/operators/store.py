@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import fnv1a64, unsigned_hex
 from quern.operators.ranking import group_rank
 from quern.schema import STORE
+from quern.session import Scratch
 
 
 def merge(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
@@ -68,6 +70,49 @@ class Store:
     def unfinished(self):
         return self.read("run").filter("status = 'running'").orderBy(F.desc("run_id")).first()
 
+    def advance(self, run_id: int, cursor: str) -> None:
+        """Notes how far a run has come; call it after the data up to there is written."""
+        r = self.read("run").filter(F.col("run_id") == run_id).withColumn("last_cursor", F.lit(cursor))
+        self.write_small("run", merge(self.read("run"), r, ["run_id"]))
+
+    def run_pages(self, authors: DataFrame, score: Callable[[DataFrame, int], DataFrame], now: int, max_lev_id: int, config: dict, page: int = 100_000) -> int:
+        """Scores all ``authors(pubkey)`` page by page in the order of their keys and returns the run. An unfinished run goes on
+        behind its cursor, in its own configuration; else a new one begins. A page is written before the cursor moves, and
+        writing it again replaces it, so a run that is broken off anywhere ends with every author once."""
+        row = self.unfinished()
+        if row is None:
+            last = self.read("run").agg(F.max("run_id")).first()[0]
+            run_id, cursor = (last or 0) + 1, None
+            self.begin_run(run_id, now, max_lev_id, config)
+        else:
+            run_id, cursor = row["run_id"], row["last_cursor"]
+        keys = authors.select("pubkey").filter("pubkey is not null").distinct()
+        while True:
+            rest = keys.filter(F.col("pubkey") > cursor) if cursor is not None else keys
+            part = rest.orderBy("pubkey").limit(page)
+            end = part.agg(F.max("pubkey")).first()[0]
+            if end is None:
+                break
+            out = score(rest.filter(F.col("pubkey") <= end), run_id)
+            self.write_page("score", out, run_id, cursor, end)
+            self.advance(run_id, end)
+            cursor = end
+        self.finish_run(run_id, now, max_lev_id, cursor=cursor)
+        return run_id
+
+    def write_page(self, name: str, df: DataFrame, run_id: int, after: str | None, end: str) -> None:
+        """Writes the rows of a run with keys behind ``after`` up to ``end``; what was written of them before goes."""
+        kept = self.read(name).filter((F.col("run_id") == run_id) & ((F.col("pubkey") > end) | (F.col("pubkey") <= (after if after is not None else ""))))
+        scratch = Scratch(self.spark)
+        if kept.isEmpty():
+            self.write_run(name, df)
+            return
+        stale = self.read(name).filter((F.col("run_id") == run_id) & (F.col("pubkey") <= end) & (F.col("pubkey") > (after if after is not None else "")))
+        if stale.isEmpty():
+            df.select(*self.read(name).columns).write.mode("append").partitionBy("run_id").parquet(f"{self.path}/{name}")
+        else:  # a page that was broken off: the run is written anew without it
+            self.write_run(name, scratch.write(kept.unionByName(df.select(*kept.columns))))
+
     def threshold(self, run_id: int) -> float:
         row = self.read("run").filter(F.col("run_id") == run_id).select(F.get_json_object("config_json", "$._threshold").cast("double")).first()
         if row is None or row[0] is None:

@@ -118,6 +118,11 @@ def layer_entropy(spark, d):
     return L.entropy_layer(window_of(spark, d))
 
 
+def layer_entropy_bits(spark, d):
+    """Bits a character of all contents of an author's window together, the evidence of the entropy layer."""
+    return L.entropy_layer(window_of(spark, d)).select("pubkey", F.round(F.get_json_object("evidence", "$.entropy_bits").cast("double"), 6).alias("bits"))
+
+
 def layer_fingerprints(spark, d):
     return L.fingerprints(window_of(spark, d))
 
@@ -142,7 +147,7 @@ def scores(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     an_kinds, an_tag_summary, an_top_mentions, an_top_topics, an_rates, an_rates_wide, an_bins, an_metadata, an_duplicates, an_triage, fn_collapse, fn_fnv, fn_hosts, fn_jaccard,
-    fn_entropy, fn_admission, layer_links, layer_top_hosts, layer_duplicates, layer_entropy, layer_fingerprints, layer_allow, scores)}
+    fn_entropy, fn_admission, layer_links, layer_top_hosts, layer_duplicates, layer_entropy, layer_entropy_bits, layer_fingerprints, layer_allow, scores)}
 
 SANE = "created_at BETWEEN 0 AND 4102444800"
 _TAGS = """WITH t AS (SELECT lev_id, pubkey, g[1] AS name, g[2] AS value, pos FROM (SELECT lev_id, pubkey, unnest(tags) AS g, generate_subscripts(tags, 1) AS pos FROM seed_events)),
@@ -204,3 +209,28 @@ ORACLE = {
         a AS (SELECT DISTINCT pubkey FROM p WHERE follower_count >= 20 AND pubkey IS NOT NULL)
         SELECT s.pubkey, 'L0_whitelist' AS layer, CASE WHEN a.pubkey IS NULL THEN 1.0 ELSE 0.0 END AS value FROM (SELECT DISTINCT pubkey FROM seed_events WHERE pubkey IS NOT NULL) s LEFT JOIN a ON s.pubkey = a.pubkey""",
 }
+
+# clusters of an author's window: classes of one normal form, joined on shared runs of three words, closed over any steps
+_CLUSTERS = rf"""{WINDOW100},
+    n AS (SELECT pubkey, lev_id, trim(regexp_replace(lower(nfc_normalize(coalesce(content, ''))), '[\s\p{{Z}}]+', ' ', 'g')) AS key FROM w),
+    k AS MATERIALIZED (SELECT pubkey, key, min(lev_id) AS node, count(*) AS n, string_split(key, ' ') AS ws FROM n GROUP BY pubkey, key),
+    sh AS (SELECT pubkey, node, CASE WHEN key = '' THEN [] WHEN len(ws) < 3 THEN [key] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS g FROM k),
+    u AS MATERIALIZED (SELECT pubkey, node, len(g) AS size, unnest(g) AS g FROM sh),
+    ed AS MATERIALIZED (SELECT a.pubkey, a.node AS a, b.node AS b FROM u a JOIN u b ON a.pubkey = b.pubkey AND a.g = b.g AND a.node < b.node
+        GROUP BY 1, 2, 3, a.size, b.size HAVING count(*) >= 0.8 * (a.size + b.size - count(*)) - 1e-9),
+    both_ways AS MATERIALIZED (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed),
+    reach AS (SELECT DISTINCT a AS node, a AS to_node FROM both_ways UNION SELECT r.node, b FROM reach r JOIN both_ways ON to_node = a),
+    part AS (SELECT node, min(to_node) AS cluster FROM reach GROUP BY 1),
+    cl AS (SELECT k.pubkey, coalesce(cluster, k.node) AS cluster, CASE WHEN count(*) = 1 THEN 'exact' ELSE 'near' END AS kind, CAST(sum(n) AS BIGINT) AS n FROM k LEFT JOIN part ON part.node = k.node GROUP BY 1, 2 HAVING sum(n) >= 2)"""
+ORACLE |= {
+    "an_duplicates": f"WITH RECURSIVE {_CLUSTERS} SELECT pubkey, cluster, kind, n FROM cl",
+    "an_triage": f"""WITH RECURSIVE {_CLUSTERS}, sp AS (SELECT pubkey, created_at - lag(created_at, 4) OVER (PARTITION BY pubkey ORDER BY created_at, lev_id) AS span FROM w WHERE {SANE}),
+        bu AS (SELECT pubkey, bool_or(coalesce(span <= 60, false)) AS burst FROM sp GROUP BY 1),
+        tg AS (SELECT lev_id, pubkey, g[1] AS name, g[2] AS value FROM (SELECT lev_id, pubkey, unnest(tags) AS g FROM w)),
+        fe AS (SELECT pubkey, lev_id, count(*) FILTER (WHERE name = 'p') AS p, count(*) FILTER (WHERE name = 't') AS t FROM tg GROUP BY 1, 2), fa AS (SELECT pubkey, bool_or(p > 20 OR t > 15) AS fan FROM fe GROUP BY 1)
+        SELECT m.pubkey, event_count, coalesce(burst, false) AS burst, m.pubkey IN (SELECT pubkey FROM cl) AS near_dup, coalesce(fan, false) AS tag_fan_out
+        FROM (SELECT pubkey, count(*) AS event_count FROM w GROUP BY 1) m LEFT JOIN bu ON bu.pubkey = m.pubkey LEFT JOIN fa ON fa.pubkey = m.pubkey""",
+    "layer_entropy_bits": rf"""WITH {WINDOW100}, n AS (SELECT pubkey, trim(regexp_replace(lower(coalesce(content, '')), '[\s\p{{Z}}]+', ' ', 'g')) AS t FROM w),
+        j AS (SELECT pubkey, string_agg(t, ' ') AS t FROM n GROUP BY 1), c AS (SELECT pubkey, ch, count(*) AS k FROM (SELECT pubkey, unnest(list_transform(range(1, length(t) + 1), lambda i: array_extract(t, i))) AS ch FROM j) GROUP BY 1, 2),
+        h AS (SELECT pubkey, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS h FROM c GROUP BY 1) SELECT j.pubkey, round(coalesce(h, 0), 6) AS bits FROM j LEFT JOIN h ON h.pubkey = j.pubkey""",
+}

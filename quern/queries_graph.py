@@ -359,3 +359,29 @@ ORACLE["gr_keep_best"] = """SELECT CAST(rank AS INTEGER) AS rank, count(*) AS n
 ORACLE["gr_components"] = f"""WITH RECURSIVE {_P}, {_E}, m AS (SELECT x.src AS a, x.dst AS b FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src WHERE x.src <> x.dst),
     r AS (SELECT a AS node, a AS other FROM m UNION SELECT r.node, m.b FROM r JOIN m ON m.a = r.other) SELECT node, min(other) AS component FROM r GROUP BY 1"""
 ORACLE["gr_upsert"] = ORACLE["gr_list_edges"]
+
+
+def _fixpoint(rounds: int = 24) -> str:
+    """``t`` (node, round): the trust fixpoint (k = 2) of the twenty smallest sources, one table a round; more rounds than
+    there are change nothing."""
+    steps = ["t0 AS MATERIALIZED (SELECT src AS node, 0 AS round FROM (SELECT DISTINCT src FROM e ORDER BY src LIMIT 20))"]
+    for i in range(rounds):
+        steps.append(f"""t{i + 1} AS MATERIALIZED (SELECT * FROM t{i} UNION ALL SELECT dst, {i + 1} FROM e JOIN t{i} ON src = node
+            WHERE dst IS NOT NULL AND dst NOT IN (SELECT node FROM t{i}) GROUP BY dst HAVING count(*) >= 2)""")
+    return ", ".join([*steps, f"t AS (SELECT * FROM t{rounds})"])
+
+
+_CLOSED = f"WITH {_P}, {_E}, {_fixpoint()}"
+_SCAN = _CLOSED + """, tf AS (SELECT dst AS node, count(*) AS trusted_followers FROM e WHERE src IN (SELECT node FROM t) GROUP BY 1), tg AS (SELECT src AS node, count(*) AS trusted_followees FROM e WHERE dst IN (SELECT node FROM t) GROUP BY 1),
+    w AS (SELECT node, coalesce(trusted_followers, 0) AS trusted_followers, coalesce(trusted_followees, 0) AS trusted_followees, coalesce(trusted_followers, 0) + coalesce(trusted_followees, 0) AS weight
+        FROM tf FULL JOIN tg USING (node) WHERE node NOT IN (SELECT node FROM t))"""
+_THREE = """h1 AS (SELECT node AS bridge, dst AS node FROM w JOIN e ON e.src = w.node WHERE weight BETWEEN 1 AND 2), h2 AS (SELECT * FROM h1 UNION SELECT bridge, dst FROM h1 JOIN e ON e.src = h1.node),
+    r AS (SELECT * FROM h2 UNION SELECT bridge, dst FROM h2 JOIN e ON e.src = h2.node), c AS (SELECT * FROM r WHERE bridge <> node)"""
+ORACLE |= {
+    "gr_trust": f"{_CLOSED} SELECT node, CAST(round AS INTEGER) AS round FROM t",
+    "gr_trust_endorsements": f"{_SCAN} SELECT * FROM w",
+    "gr_trust_bridges": f"{_SCAN} SELECT * FROM w WHERE weight BETWEEN 1 AND 2",
+    "gr_trust_beneath": f"{_SCAN}, {_THREE} SELECT bridge, count(*) AS n FROM c GROUP BY 1",
+    "gr_trust_clusters": f"""{_SCAN}, {_THREE} SELECT bridge, count(*) AS cluster_size, max(weight) AS weight, round(count(*) / max(weight), 6) AS score
+        FROM c JOIN w ON w.node = c.bridge WHERE c.node NOT IN (SELECT node FROM t) GROUP BY 1 HAVING count(*) >= 5""",
+}

@@ -77,10 +77,15 @@ def it_score_lines(spark, d):
 
 
 def it_delete(spark, d):
-    """The log without the events that deletion requests name."""
+    """The log without the events that deletion requests of their own authors name."""
     log = event_log(spark, d)
-    e = log.filter("kind = 7").select(F.explode("tags").alias("t")).filter((F.get("t", F.lit(0)) == "e") & (F.size("t") >= 2)).select(F.get("t", F.lit(1)).alias("id"))
-    return E.delete_ids(log.select("lev_id", "id"), e).select("lev_id")
+    return E.delete_ids(log.select("lev_id", "id", "pubkey"), E.deletion_requests(log)).select("lev_id")
+
+
+def it_reacted(spark, d):
+    """The log without the events that reactions name."""
+    log = event_log(spark, d)
+    return E.delete_ids(log.select("lev_id", "id"), E.named_events(log, 7).select("id")).select("lev_id")
 
 
 def it_sample(spark, d):
@@ -139,7 +144,10 @@ ORACLE = {
     "it_skip_list": f"WITH {_P}, {_FRONT}, a AS (SELECT DISTINCT pubkey FROM p WHERE follower_count >= 20 AND pubkey IS NOT NULL) SELECT uid FROM fr WHERE pubkey NOT IN (SELECT pubkey FROM a)",
     "it_followed_keys_file": f"{_PE} SELECT pubkey FROM p WHERE pubkey IS NOT NULL AND uid IN (SELECT dst FROM e)",
     "it_score_lines": f"WITH {_P} SELECT pubkey, follower_count AS valid_follower_count FROM p WHERE pubkey IS NOT NULL",
-    "it_delete": """WITH g AS (SELECT unnest(tags) AS t FROM seed_events WHERE kind = 7), i AS (SELECT DISTINCT t[2] AS id FROM g WHERE t[1] = 'e' AND len(t) >= 2 AND t[2] IS NOT NULL)
+    "it_delete": """WITH g AS (SELECT pubkey, unnest(tags) AS t FROM seed_events WHERE kind = 5 AND pubkey IS NOT NULL),
+        i AS (SELECT DISTINCT pubkey, t[2] AS id FROM g WHERE t[1] = 'e' AND len(t) >= 2 AND t[2] IS NOT NULL)
+        SELECT lev_id FROM seed_events s WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.id = s.id AND i.pubkey = s.pubkey)""",
+    "it_reacted": """WITH g AS (SELECT unnest(tags) AS t FROM seed_events WHERE kind = 7), i AS (SELECT DISTINCT t[2] AS id FROM g WHERE t[1] = 'e' AND len(t) >= 2 AND t[2] IS NOT NULL)
         SELECT lev_id FROM seed_events WHERE id NOT IN (SELECT id FROM i)""",
     "it_flatten": f"{_PE} SELECT src, dst FROM e WHERE dst IS NOT NULL",
     "it_messages": "SELECT 'new' AS type, kind, count(pubkey) AS n FROM seed_events GROUP BY kind",

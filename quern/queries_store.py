@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quern.functions import keys, scalars
@@ -132,10 +133,12 @@ def io_jsonl_round_trip(spark, d):
 
 
 def io_payloads(spark, d):
-    """Every event packed with its tag byte, decoded and parsed."""
-    e = event_log(spark, d).select("lev_id", F.concat(F.lit(b"\x00"), F.to_json(F.struct("id", "pubkey", "created_at", "kind", "content")).cast("binary")).alias("payload"))
-    p = payloads.parse_events(payloads.decode_payloads(e, {}))
-    return p.select("lev_id", "id", "kind", "bad")
+    """Every event packed whole, a third as it is and the others as zstd frames of two dictionaries, then decoded and parsed."""
+    words = {1: b'{"id":"","pubkey":"","created_at":17,"kind":1,"tags":[["e",""],["p",""]],"content":"","sig":""}', 2: b'"kind":7,"content":"+","tags":[["t","nostr"]]'}
+    e = event_log(spark, d).select("lev_id", F.to_json(F.struct("id", "pubkey", "created_at", "kind", "tags", "content", "sig")).alias("raw"))
+    packed = payloads.encode_payloads(e, words, F.pmod("lev_id", F.lit(3)))
+    p = payloads.parse_events(payloads.decode_payloads(packed, words))
+    return p.select("lev_id", "id", "kind", "bad", "content", "sig", F.size("tags").alias("n_tags"), F.element_at(F.try_element_at("tags", F.lit(1)), 1).alias("first_tag"))
 
 
 def io_relay_lists(spark, d):
@@ -194,7 +197,11 @@ def fn_kind_names(spark, d):
 def fn_identifiers(spark, d):
     """Every author's key in its three forms, parsed back."""
     a = event_log(spark, d).filter("pubkey is not null").select("pubkey").distinct()
-    forms = F.udf(lambda k: [k.upper(), " " + keys.bech32_encode("npub", bytes.fromhex(k)) + "\n", keys.bech32_encode("nprofile", b"\x00\x20" + bytes.fromhex(k))], "array<string>")
+
+    @F.pandas_udf("array<string>")
+    def forms(k: pd.Series) -> pd.Series:
+        return k.map(lambda k: [k.upper(), " " + keys.bech32_encode("npub", bytes.fromhex(k)) + "\n", keys.bech32_encode("nprofile", b"\x00\x20" + bytes.fromhex(k))])
+
     return a.select("pubkey", F.explode(forms("pubkey")).alias("form")).select("pubkey", keys.identifier("form").alias("parsed")).filter("parsed = pubkey").groupBy("pubkey").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -246,7 +253,7 @@ ORACLE = {
         FROM (SELECT pubkey, pubkey IN (SELECT pubkey FROM p WHERE pubkey IS NOT NULL) AS x FROM r WHERE held)""",
     "io_jsonl_round_trip": """WITH e AS (SELECT * FROM seed_events QUALIFY row_number() OVER (PARTITION BY id ORDER BY lev_id) = 1)
         SELECT row_number() OVER (ORDER BY coalesce(created_at, -1), id) AS lev_id, id, kind, CAST(len(tags) AS INTEGER) AS n_tags FROM e WHERE pubkey IS NOT NULL""",
-    "io_payloads": "SELECT lev_id, id, kind, pubkey IS NULL AS bad FROM seed_events",
+    "io_payloads": "SELECT lev_id, id, kind, pubkey IS NULL AS bad, content, sig, CAST(len(tags) AS INTEGER) AS n_tags, tags[1][1] AS first_tag FROM seed_events",
     "io_relay_lists": """WITH l AS (SELECT * FROM seed_events WHERE kind = 10002 AND pubkey IS NOT NULL AND created_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pubkey ORDER BY created_at DESC, lev_id) = 1),
         t AS (SELECT pubkey, unnest(tags) AS g FROM l), r AS (SELECT pubkey, regexp_replace(lower(trim(g[2])), '/+$', '') AS relay FROM t WHERE g[1] = 'r' AND len(g) >= 2)
         SELECT relay, count(DISTINCT pubkey) AS authors FROM r WHERE starts_with(relay, 'wss://') GROUP BY 1""",

@@ -43,13 +43,23 @@ def sm_list_versions(spark, d):
 
 
 def sm_sliding_rates(spark, d):
+    """Events a second over the trailing ten seconds, every second, as far as the stream has passed them."""
+    return S.catch_up(spark, S.sliding_rates(_stream(spark, d).filter("created_at between 0 and 4102444800"))).select("at", "n", "rate")
+
+
+def sm_trailing_minutes(spark, d):
     """Busiest trailing ten minutes, as a table expression of the same rule as the stream's."""
     e = event_log(spark, d).filter("created_at between 0 and 4102444800").withColumn("ts", F.timestamp_seconds("created_at"))
     w = e.groupBy(F.window("ts", "10 minutes", "1 minute")).agg(F.count(F.lit(1)).alias("n"))
     return w.agg(F.count(F.lit(1)).alias("windows"), F.max("n").alias("busiest"), F.sum("n").alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (sm_window_counts, sm_final_windows, sm_distinct, sm_telemetry, sm_latest_lists, sm_list_versions, sm_sliding_rates)}
+def sm_outside(spark, d):
+    """Events that are in no window of the stream, by kind and reason."""
+    return S.catch_up(spark, S.outside_counts(_stream(spark, d)), "complete")
+
+
+QUERIES = {f.__name__: f for f in (sm_window_counts, sm_final_windows, sm_distinct, sm_telemetry, sm_latest_lists, sm_list_versions, sm_sliding_rates, sm_trailing_minutes, sm_outside)}
 
 _LAG = "(CAST(floor(epoch_us(received_at) / 1000000) AS BIGINT) - created_at)"
 ORACLE = {
@@ -60,7 +70,11 @@ ORACLE = {
     "sm_telemetry": f"SELECT kind, count(*) AS n, count(*) FILTER (WHERE source IS NULL) AS unknown_source, count(*) FILTER (WHERE {_LAG} > 3600) AS late, max({_LAG}) AS longest FROM seed_events GROUP BY 1",
     "sm_latest_lists": """SELECT pubkey, lev_id, created_at FROM seed_events WHERE kind = 3 AND pubkey IS NOT NULL AND created_at IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY pubkey ORDER BY created_at DESC, lev_id) = 1""",
-    "sm_sliding_rates": """WITH e AS (SELECT created_at FROM seed_events WHERE created_at BETWEEN 0 AND 4102444800),
+    "sm_trailing_minutes": """WITH e AS (SELECT created_at FROM seed_events WHERE created_at BETWEEN 0 AND 4102444800),
         w AS (SELECT created_at // 60 * 60 - 60 * i AS start, count(*) AS n FROM e, range(10) r(i) GROUP BY 1) SELECT count(*) AS windows, max(n) AS busiest, CAST(sum(n) AS BIGINT) AS total FROM w""",
 }
+ORACLE["sm_sliding_rates"] = """WITH e AS (SELECT created_at FROM seed_events WHERE created_at BETWEEN 0 AND 4102444800)
+    SELECT created_at + i AS at, count(*) AS n, count(*) / 10 AS rate FROM e, range(1, 11) r(i) GROUP BY 1 HAVING created_at + i <= (SELECT max(created_at) FROM e) - 10"""
+ORACLE["sm_outside"] = """WITH e AS (SELECT kind, created_at IS NULL OR received_at IS NULL AS none, created_at - CAST(floor(epoch_us(received_at) / 1000000) AS BIGINT) AS lead FROM seed_events)
+    SELECT kind, count(*) FILTER (WHERE none) AS without_time, count(*) FILTER (WHERE NOT none) AS ahead FROM e WHERE none OR lead > 86400 GROUP BY 1"""
 ORACLE["sm_list_versions"] = ORACLE["sm_latest_lists"]

@@ -100,4 +100,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         if path := getattr(df, "_quern_path", None):
-            _delete(self.spark, path)
+            self.drop_path(path)
+
+    def drop_path(self, path: str) -> None:
+        _delete(self.spark, path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.schema import EVENT
@@ -42,6 +42,27 @@ def decode(raw: bytes, dictionaries: dict[int, bytes], made: dict | None = None)
     return (out.decode("utf-8", "replace"), None) if len(out) <= MOST_BYTES else (None, "too large")
 
 
+def encode_payloads(df: DataFrame, dictionaries: dict[int, bytes], number: Column) -> DataFrame:
+    """(lev_id, payload BINARY) of ``df(lev_id, raw STRING)``: where ``number`` names a dictionary a zstd frame made with it,
+    else the text as it is; a null text gives a null payload."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        made = {n: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d)) for n, d in dictionaries.items()}
+        for b in batches:
+            out = []
+            for raw, n in zip(b["raw"], b["number"]):
+                if raw is None:
+                    out.append(None)
+                elif n in made:
+                    out.append(bytes([ZSTD]) + int(n).to_bytes(4, "little") + made[n].compress(raw.encode()))
+                else:
+                    out.append(bytes([RAW]) + raw.encode())
+            yield pd.DataFrame({"lev_id": b["lev_id"], "payload": out})
+
+    return df.select("lev_id", "raw", F.coalesce(number.cast("bigint"), F.lit(-1)).alias("number")).mapInPandas(run, "lev_id bigint, payload binary")
+
+
 def decode_payloads(df: DataFrame, dictionaries: dict[int, bytes]) -> DataFrame:
     """(lev_id, raw, error) of ``df(lev_id, payload BINARY)``; bad payloads have an error and no text. The dictionaries
     are few and of some kilobytes each; they travel with the function."""

@@ -1,44 +1,50 @@
-"""A seeded graph in which new nodes prefer popular ones."""
+"""A seeded graph in which popular nodes are followed more, every edge made by itself.
+
+Link ``k`` of node ``i`` draws an earlier node ``j``. With even odds it leads there, else it copies one of the links of ``j``,
+which may be a copy in turn. So a node is copied as often as it is linked already, and the number of followers has a
+heavy tail. All draws are hashes of (seed, node, link): an edge is followed to its end without any other edge having
+been made, so the graph is made in parallel and does not depend on how it is split.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
-def mulberry32(seed: int):
-    """The published 32-bit generator of that name: fixed constants, uniform in [0, 1)."""
-    state = seed & 0xFFFFFFFF
-    while True:
-        state = (state + 0x6D2B79F5) & 0xFFFFFFFF
-        x = ((state ^ state >> 15) * (state | 1)) & 0xFFFFFFFF
-        x ^= (x + ((x ^ x >> 7) * (x | 61) & 0xFFFFFFFF)) & 0xFFFFFFFF
-        yield (x ^ x >> 14) / 2**32
-
-
-def preferential_graph(n: int, m: int = 6, seed: int = 1) -> np.ndarray:
-    """(edges, 2): a full core of ``m`` nodes, then every node links to ``m`` different earlier ends, drawn from the list
-    of all ends so far. Each step needs the one before, so it is a driver loop; for test graphs."""
-    draw = mulberry32(seed)
-    for _ in range(2 * n):  # two coordinates a node come first in the stream
-        next(draw)
-    core = min(m, n)
-    edges = [(i, j) for i in range(core) for j in range(core) if i != j]
-    ends = [j for _, j in edges] or [0]
-    for i in range(core, n):
-        chosen: dict[int, None] = {}
-        for _ in range(8 * m):
-            if len(chosen) == m:
-                break
-            j = ends[int(next(draw) * len(ends))]
-            if j != i:
-                chosen.setdefault(j)
-        for j in chosen:
-            edges.append((i, j))
-            ends += [j, i]
-    return np.array(edges, np.int64).reshape(-1, 2)
+def link_ends(node: np.ndarray, link: np.ndarray, m: int, seed: int = 1) -> np.ndarray:
+    """Where each link leads: a node below ``node``; node 0 has none and gives -1."""
+    with np.errstate(over="ignore"):
+        base = _mixed(np.uint64(seed) + np.uint64(0x632BE59BD9B4E019))
+        i, k = node.astype(np.uint64).copy(), link.astype(np.uint64).copy()
+        end = np.full(len(i), -1, np.int64)
+        open_ = np.flatnonzero(i > 0)
+        while open_.size:  # half of them end each turn
+            h = _mixed(_mixed(base ^ i[open_]) + k[open_])
+            j = (h >> np.uint64(11)) % i[open_]
+            done = (h & np.uint64(1) == 0) | (j == 0)
+            end[open_[done]] = j[done].astype(np.int64)
+            i[open_], k[open_] = j, _mixed(h) % np.uint64(m)
+            open_ = open_[~done]
+    return end
 
 
 def preferential_edges(spark: SparkSession, n: int, m: int = 6, seed: int = 1) -> DataFrame:
-    e = preferential_graph(n, m, seed)
-    return spark.createDataFrame([(int(a), int(b)) for a, b in e], "src bigint, dst bigint")
+    """(src, dst) of ``n`` nodes with up to ``m`` links each to earlier nodes; repeated links are one edge."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            node, link = np.repeat(b["id"].to_numpy(), m), np.tile(np.arange(m), len(b))
+            out = pd.DataFrame({"src": node, "dst": link_ends(node, link, m, seed)})
+            yield out[out["dst"] >= 0].drop_duplicates()  # a node is whole within its batch
+
+    return spark.range(n).mapInPandas(run, "src bigint, dst bigint")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -13,6 +13,9 @@ from quern.operators.graph import latest_lists
 from quern.session import Scratch
 
 WINDOW_S, LATE_S, REALTIME_S = 5, 10, 5
+AHEAD_S = 86_400
+#: folders of the kept lists, by hash of the author
+BUCKETS = 64
 
 
 def event_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
@@ -28,12 +31,24 @@ def event_stream(spark: SparkSession, path: str, files: int | None = None) -> Da
 def window_counts(stream: DataFrame, seconds: int = WINDOW_S, late: int = LATE_S) -> DataFrame:
     """Events by tumbling window and kind. A window is half open, so an event on a border counts once; it is final when
     the stream has passed its end by ``late`` seconds. Events that claim to be a day or more ahead of their delivery are
-    left out: a single one would close all windows before it."""
-    ahead = F.col("created_at") <= F.unix_seconds(F.col("received_at").cast("timestamp")) + 86_400
-    return (stream.filter("ts is not null").filter(ahead).withWatermark("ts", f"{late} seconds").groupBy(F.window("ts", f"{seconds} seconds"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    not in a window: a single one would close all windows before it. ``outside_counts`` has them."""
+    return (stream.filter(in_time()).withWatermark("ts", f"{late} seconds").groupBy(F.window("ts", f"{seconds} seconds"), "kind").agg(F.count(F.lit(1)).alias("n"))
             .select(F.unix_seconds("window.start").alias("start"), F.unix_seconds("window.end").alias("end"), "kind", "n"))
 
 
+def in_time() -> Column:
+    """An event with a time that is at most a day ahead of its delivery."""
+    ahead = F.col("created_at") <= F.unix_seconds(F.col("received_at").cast("timestamp")) + AHEAD_S
+    return F.col("created_at").isNotNull() & F.coalesce(ahead, F.lit(False))
+
+
+def outside_counts(events: DataFrame) -> DataFrame:
+    """What ``window_counts`` has in no window, by kind: events without a time, or without delivery, and those ahead of it."""
+    out = events.filter(~in_time())
+    none = F.col("created_at").isNull() | F.col("received_at").isNull()
+    return out.groupBy("kind").agg(F.count_if(none).alias("without_time"), F.count_if(~none).alias("ahead"))
+
+
 def without_repeats(stream: DataFrame, late: str = "60 days") -> DataFrame:
     """The first delivery of each id among those received within ``late`` of each other; the state is bounded by it. The
     time of delivery decides, as the claimed time of an event may be anything."""
@@ -79,23 +94,72 @@ def forward(spark: SparkSession, stream: DataFrame, publish: Callable[[DataFrame
     return (w.trigger(processingTime="1 second") if realtime else w.trigger(availableNow=True)).start()
 
 
+def measured(spark: SparkSession, publish: Callable[[DataFrame, int], None], path: str, every: int = 250) -> Callable[[DataFrame, int], None]:
+    """``publish`` with its progress appended to ``path`` as lines of JSON, once ``every`` or more events have gone out since
+    the last line: events, newest ``created_at``, mean and longest delay from delivery to publication in seconds."""
+    since = {"events": 0, "sum": 0.0, "longest": 0.0, "newest": None}
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        publish(batch, epoch)
+        lag = F.unix_millis(F.current_timestamp()) / 1000 - F.unix_millis(F.col("received_at").cast("timestamp")) / 1000
+        n, total, longest, newest = batch.agg(F.count(F.lit(1)), F.sum(lag), F.max(lag), F.max("created_at")).first()
+        since.update(events=since["events"] + n, sum=since["sum"] + (total or 0.0), longest=max(since["longest"], longest or 0.0), newest=max(filter(None, (since["newest"], newest)), default=None))
+        if since["events"] >= every:
+            row = (epoch, since["events"], since["newest"], since["sum"] / since["events"], since["longest"])
+            spark.createDataFrame([row], "epoch bigint, events bigint, newest bigint, mean_delay double, longest_delay double").coalesce(1).write.mode("append").json(path)
+            since.update(events=0, sum=0.0, longest=0.0, newest=None)
+
+    return run
+
+
+def in_slices(publish: Callable[[DataFrame, int], None], most: int) -> Callable[[DataFrame, int], None]:
+    """Hands a micro-batch on in slices of about ``most`` rows, one after the other, so that a slow receiver is given no more
+    at a time; nothing is dropped. A row's slice depends on its ``lev_id`` only."""
+    def run(batch: DataFrame, epoch: int) -> None:
+        slices = max(1, -(-batch.count() // most))
+        for i in range(slices):
+            publish(batch.filter(F.pmod(F.xxhash64("lev_id"), F.lit(slices)) == i) if slices > 1 else batch, epoch)
+
+    return run
+
+
 def sync_mode(window_end: int, now: int) -> str:
     return "realtime" if window_end > now - REALTIME_S else "windowed"
 
 
 class LatestLists:
     """The newest follow list of each author, kept by merging micro-batches. A newer list wins however late it comes, so
-    no watermark applies; an older one never does, and of equal times the first to arrive stays."""
+    no watermark applies; an older one never does, and of equal times the first to arrive stays. Lists are kept in
+    ``BUCKETS`` folders by hash of the author, and a batch writes only those anew that it has lists for."""
+
+    COLUMNS = "pubkey string, lev_id bigint, created_at bigint, tags array<array<string>>"
 
-    def __init__(self, spark: SparkSession):
-        self.scratch = Scratch(spark)
-        self.state = self.scratch.write(spark.createDataFrame([], "pubkey string, lev_id bigint, created_at bigint, tags array<array<string>>"))
+    def __init__(self, spark: SparkSession, buckets: int = BUCKETS):
+        self.spark, self.scratch, self.buckets = spark, Scratch(spark), buckets
+        self.folders: dict[int, str] = {}
+
+    def _read(self, buckets: list[int]) -> DataFrame:
+        paths = [self.folders[b] for b in buckets if b in self.folders]
+        return self.spark.read.schema(self.COLUMNS).parquet(*paths) if paths else self.spark.createDataFrame([], self.COLUMNS)
+
+    @property
+    def state(self) -> DataFrame:
+        return self._read(sorted(self.folders))
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        new = latest_lists(batch)
-        both = self.state.unionByName(new.select(*self.state.columns)).withColumn("kind", F.lit(3))
-        old, self.state = self.state, self.scratch.write(latest_lists(both))
-        self.scratch.drop(old)
+        bucket = F.pmod(F.xxhash64("pubkey"), F.lit(self.buckets)).cast("int")
+        new = self.scratch.write(latest_lists(batch).withColumn("bucket", bucket))
+        touched = sorted(r[0] for r in new.select("bucket").distinct().collect())
+        if touched:
+            both = self._read(touched).unionByName(new.drop("bucket")).withColumn("kind", F.lit(3))
+            self.scratch.n += 1
+            path = f"{self.scratch.base}/{self.scratch.n}"
+            latest_lists(both).withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(path)
+            old = {b: self.folders[b] for b in touched if b in self.folders}
+            self.folders.update({b: f"{path}/bucket={b}" for b in touched})
+            for folder in old.values():
+                self.scratch.drop_path(folder)
+        self.scratch.drop(new)
 
     def run(self, stream: DataFrame) -> DataFrame:
         q = stream.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.scratch.base}/progress").trigger(availableNow=True).start()
@@ -103,8 +167,6 @@ class LatestLists:
         return self.state
 
 
-
-
 def accepted_versions(stream: DataFrame, kind: int = 3) -> DataFrame:
     """(pubkey, created_at, lev_id) of every list that is newer than all before it from its author: a change log, kept by
     a state of two numbers an author in Spark's state store. Older lists and equal times are passed over, however late

@@ -109,3 +109,26 @@ def test_refinement_and_single_sorts_agree(spark, monkeypatch, few):
         v = sorted(x for key, x in data if key == k and x is not None)
         assert got[k] == [v[max(1, -(-len(v) * p // 1000)) - 1] if v else None for p in (1, 500, 900, 1000)]
     assert len(got) == 4
+
+
+def test_details_are_of_the_row_that_counts(spark):
+    """Of rows with one kind3createdat the details take the one the changes compared: a row that did not change shows none."""
+    rng = random.Random(5)
+    rows = []
+    for uid in range(300):
+        pair = [[rng.randint(1, 9) for _ in range(rng.randint(0, 3))] for _ in range(2)]
+        rows += [(1, uid, 7, f, "", "") for f in pair] + [(2, uid, 7, f, "", "") for f in pair]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert snapshot_changes(df, "snapshot_no", "uid", "kind3createdat", follows_content()).count() == 0
+    df = df.unionByName(spark.createDataFrame([(2, uid, 8, [100 + uid], "", "") for uid in range(0, 300, 3)], SCHEMA))
+    changes = snapshot_changes(df, "snapshot_no", "uid", "kind3createdat", follows_content())
+    seen = profile_change_details(df, changes).collect()
+    assert len(seen) == 100 and all((r["old_kind3"], r["new_kind3"], r["follows_in"]) == (7, 8, 1) for r in seen)
+    # the old side has one of the two sets, the one with the larger hash, which leaving shows
+    sets = {}
+    for s, uid, _, f, *_ in rows:
+        if s == 1:
+            sets.setdefault(uid, []).append(set(f))
+    assert all(r["follows_out"] in {len(x) for x in sets[r["uid"]]} for r in seen)
+    twice = profile_change_details(df.repartition(5), changes).collect()
+    assert sorted(map(tuple, seen)) == sorted(map(tuple, twice))

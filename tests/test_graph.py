@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quern.operators import graph as G
 from quern.operators.components import connected_components
 from quern.sources.frames import Bloom, GraphFrame
-from quern.sources.synthetic import mulberry32, preferential_graph
+from quern.sources.synthetic import preferential_edges
 
 
 def edges(spark, pairs):
@@ -230,12 +230,15 @@ def test_bloom(spark):
         Bloom.decode(f.encode()[:-1] + b"\xff" if f.encode()[-1:] != b"\xff" else f.encode()[:-1] + b"\0")
 
 
-def test_preferential_graph():
-    e = preferential_graph(200, 4, 1)
-    assert len(e) == 4 * 3 + 196 * 4 and (e[:, 0] != e[:, 1]).all() and preferential_graph(200, 4, 1).tolist() == e.tolist()
-    draws = mulberry32(1)
-    assert all(0 <= next(draws) < 1 for _ in range(100))
-    assert len(preferential_graph(1)) == 0 == len(preferential_graph(0))
+def test_preferential_edges(spark):
+    e = preferential_edges(spark, 3000, 4, 1)
+    got = sorted(map(tuple, e.collect()))
+    assert len(got) == len(set(got)) and all(0 <= d < s for s, d in got) and 2 * 2999 < len(got) <= 4 * 2999
+    again = preferential_edges(spark, 3000, 4, 1).repartition(3)
+    assert got == sorted(map(tuple, again.collect())) and got != sorted(map(tuple, preferential_edges(spark, 3000, 4, 2).collect()))
+    followers = sorted((r["count"] for r in e.groupBy("dst").count().collect()), reverse=True)
+    assert followers[0] > 20 * followers[len(followers) // 2]  # a heavy tail
+    assert preferential_edges(spark, 1).count() == 0 == preferential_edges(spark, 0).count()
 
 
 def test_seed_samples_and_keys(spark):

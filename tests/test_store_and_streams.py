@@ -187,3 +187,121 @@ def test_late_deliveries_count_in_the_delay(spark, monkeypatch):
     monkeypatch.setattr(Q, "event_log", lambda spark, d: log)
     got = [tuple(r) for r in Q.io_relay_delay_whole(spark, "").select("relay", "n", "late", "early", "mean", "most", "rejected").collect()]
     assert got == [("a", 3, 1, 1, round((10 + 20 * day - 30) / 3, 3), 20 * day, 2), ("b", 1, 0, 0, 10.0 * day, 10 * day, 0), ("c", 0, 0, 0, None, None, 1)]
+
+
+def test_broken_runs_go_on_behind_their_cursor(spark, tmp_path):
+    s = St.Store(spark, f"file://{tmp_path}/store")
+    authors = spark.createDataFrame([(f"{i:02d}",) for i in range(25)] + [("03",), (None,)], "pubkey string")
+    asked = []
+
+    def score(part, run_id, broken=None):
+        keys = sorted(r[0] for r in part.collect())
+        asked.append(keys)
+        if broken in keys:
+            raise OSError("gone")
+        return part.select(F.lit(run_id).cast("bigint").alias("run_id"), "pubkey", F.lit(0.5).alias("score"), F.lit(0).alias("suspected"), F.lit(0).alias("whitelisted"))
+
+    with pytest.raises(OSError):
+        s.run_pages(authors, lambda p, r: score(p, r, "12"), 1, 1, {"_threshold": 0.5}, page=10)
+    assert s.unfinished()["last_cursor"] == "09" and s.read("score").count() == 10
+    # a page that was written without its cursor being moved
+    s.write_page("score", score(authors.filter("pubkey between '10' and '19'").distinct(), 1), 1, "09", "19")
+    asked.clear()
+    assert s.run_pages(authors, score, 2, 2, {}, page=10) == 1
+    assert [k[0] for k in asked] == ["10", "20"] and s.unfinished() is None
+    assert sorted(r["pubkey"] for r in s.read("score").collect()) == [f"{i:02d}" for i in range(25)]
+    assert s.run_pages(authors, score, 3, 3, {}, page=100) == 2 and s.read("score").count() == 50
+
+
+def test_last_good_list_stands(spark, tmp_path):
+    from quern.streaming.lists import AllowList, gated
+
+    lists = [("v1", ["A" * 64, "b" * 64, "x"]), OSError("down"), ("v2", ["not a key"]), None, ("v3", ["c" * 64])]
+    now, seen = [0.0], []
+
+    def fetch(version):
+        seen.append(version)
+        got = lists.pop(0)
+        if isinstance(got, Exception):
+            raise got
+        return got and (got[0], spark.createDataFrame([(k,) for k in got[1]], "pubkey string"))
+
+    a = AllowList(spark, fetch, every=30, retry=1, clock=lambda: now[0])
+    keys = lambda: sorted(r[0][0] for r in a.keys.collect())
+    with pytest.raises(RuntimeError):
+        gated(AllowList(spark, lambda v: None), lambda b, e: None)(spark.range(0), 0)
+    assert not a.ready and a.refresh() and a.ready and keys() == ["a", "b"]
+    assert not a.refresh() and seen == [None]  # not yet due
+    now[0] = 30
+    assert not a.refresh() and "down" in a.error and keys() == ["a", "b"] and a.due == 31
+    now[0] = 31
+    assert not a.refresh() and "without keys" in a.error and a.due == 33 and a.version == "v1"
+    now[0] = 33
+    assert not a.refresh() and a.error is None and seen == [None, "v1", "v1", "v1"]
+    now[0] = 63
+    out = []
+    batch = spark.createDataFrame([("1" * 64, "c" * 64, 1, "x"), ("2" * 64, "a" * 64, 1, "x")], "id string, pubkey string, kind int, content string")
+    gated(a, lambda b, e: out.extend((r["pubkey"][0], r["action"]) for r in b.collect()))(batch, 0)
+    assert a.version == "v3" and sorted(out) == [("a", "reject"), ("c", "accept")]
+    slept = []
+    with pytest.raises(RuntimeError):
+        AllowList(spark, lambda v: 1 / 0, clock=lambda: sum(slept)).wait(4, slept.append)
+    assert slept == [1, 2, 4]
+
+
+def test_chunks_shrink_and_pages_end():
+    from quern.plans.filters import InvalidCursor
+    from quern.plans.paging import answer, chunked, pages
+
+    asked = []
+
+    def ask(chunk):
+        asked.append(len(chunk))
+        if len(chunk) > 3 or 13 in chunk:
+            raise TimeoutError
+        return sum(chunk)
+
+    got = list(chunked(range(20), ask, 8))
+    assert [x for c, _, _ in got for x in c] == list(range(20)) and sum(r for _, r, _ in got if r is not None) == sum(range(20)) - 13
+    assert [list(c) for c, _, e in got if e] == [[13]] and max(asked) == 8
+    turns = iter([([1], "a"), ([2], "b"), ([], None)])
+    assert list(pages(lambda c: next(turns))) == [[1], [2], []]
+    with pytest.raises(RuntimeError):
+        list(pages(lambda c: ([1], "same")))
+
+    def fail(e):
+        raise e
+
+    assert answer(lambda: 5) == {"data": 5}
+    assert [answer(lambda e=e: fail(e))["errors"][0]["code"] for e in (InvalidCursor("x"), ValueError("x"), LookupError("x"), OSError("x"))] == ["bad_cursor", "bad_input", "not_found", "internal"]
+
+
+def test_forwarding_measured_and_in_slices(spark, tmp_path):
+    path = f"{tmp_path}/in"
+    write_batches(spark, path, [[(i, "a", "x", 100 + i, 1) for i in range(n)] for n in (200, 100, 300)])
+    sizes = []
+    publish = S.in_slices(lambda b, e: sizes.append(b.count()), 60)
+    stream = S.event_stream(spark, path, files=1).withColumn("received_at", F.timestamp_seconds("created_at"))
+    S.forward(spark, stream, S.measured(spark, publish, f"file://{tmp_path}/progress", 250)).awaitTermination()
+    assert sum(sizes) == 600 and len(sizes) == 4 + 2 + 5 and max(sizes) < 120
+    lines = spark.read.json(f"file://{tmp_path}/progress").collect()
+    assert [r["events"] for r in sorted(lines, key=lambda r: r["epoch"])] in ([300, 300], [500], [400]) and all(r["longest_delay"] >= r["mean_delay"] > 0 for r in lines)
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    path = f"{tmp_path}/in"
+    write_batches(spark, path, [[(i, f"e{i}", f"p{i}", 100, 3) for i in range(50)], [(60, "e60", "p7", 200, 3), (61, "e61", "p8", 50, 3)]])
+    lists = S.LatestLists(spark, 16)
+    got = {r["pubkey"]: r["lev_id"] for r in lists.run(S.event_stream(spark, path, files=1)).collect()}
+    assert len(got) == 50 and got["p7"] == 60 and got["p8"] == 8
+    assert len({f.rsplit("/", 1)[0] for f in lists.folders.values()}) == 2 and len(lists.folders) > 8
+
+
+def test_deletions_count_for_own_events_only(spark):
+    from quern.operators import events as E
+
+    rows = [(1, "i1", "a", 1, []), (2, "i2", "b", 1, []), (3, "d", "a", 5, [["e", "i1"], ["e", "i2"], ["p", "i2"], ["e"], [None]]), (4, "n", None, 5, [["e", "i2"]]), (5, None, "a", 1, None), (6, "i1", None, 1, [])]
+    log = spark.createDataFrame(rows, "lev_id bigint, id string, pubkey string, kind bigint, tags array<array<string>>")
+    assert sorted(r["lev_id"] for r in E.delete_ids(log, E.deletion_requests(log)).collect()) == [2, 3, 4, 5, 6]
+    batches = E.deletion_batches(spark.range(1203).select(F.col("id").cast("string").alias("id")), 100).collect()
+    assert sorted(int(i) for b in batches for i in b["ids"]) == list(range(1203)) and max(len(b["ids"]) for b in batches) <= 100 and len({b["batch"] for b in batches}) == len(batches)
