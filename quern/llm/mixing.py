@@ -16,7 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import Scratch
+
 ROWS_A_BUCKET = 100_000
+#: so many routes at most are broadcast; beyond that Spark picks the join
+FEW_ROUTES = 100_000
 
 
 class MinCostFlow:
@@ -104,7 +108,7 @@ def plan_mix(tokens: dict[int, int], shares: list[float], repeats: list[int], to
         return Mix(0, {})
     if total is None:
         lo, hi = 0, sum(n for n in tokens.values()) * max(repeats) + 1
-        while hi - lo > max(1, hi // 100_000):
+        while hi - lo > 1:
             mid = (lo + hi) // 2
             sent, _ = _route(tokens, shares, repeats, mid)
             lo, hi = (mid, hi) if sent >= sum(int(x * mid) for x in shares) else (lo, mid)
@@ -112,7 +116,8 @@ def plan_mix(tokens: dict[int, int], shares: list[float], repeats: list[int], to
     return Mix(total, _route(tokens, shares, repeats, total)[1])
 
 
-def mix(records: DataFrame, ident: str, text: str, source: str, size: str, targets: list[tuple[str, float, int]], seed: int = 7, total: int | None = None) -> tuple[DataFrame, Mix]:
+def mix(records: DataFrame, ident: str, text: str, source: str, size: str, targets: list[tuple[str, float, int]], seed: int = 7, total: int | None = None,
+        scratch: Scratch | None = None) -> tuple[DataFrame, Mix]:
     """(ident, source, repeats, size): the chosen records, the source each counts for and how often it is used.
 
     ``targets`` is (source, share, most repeats); a record is used at most as often as the strictest of its sources
@@ -122,37 +127,40 @@ def mix(records: DataFrame, ident: str, text: str, source: str, size: str, targe
     """
     targets = sorted(targets)
     names = [t[0] for t in targets]
-    if len(names) > 60:
-        raise ValueError("at most 60 sources")
-    bit = F.coalesce(*[F.when(F.col(source) == s, F.lit(1 << k).cast("bigint")) for k, s in enumerate(names)]) if names else F.lit(None).cast("bigint")
-    held = records.select(F.col(ident).alias("ident"), F.col(size).cast("bigint").alias("n"), bit.alias("bit"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(3), text).alias("k2"))
-    held = held.filter("ident is not null and n > 0 and bit is not null")
-    single = held.groupBy("k1", "k2").agg(F.min("ident").alias("ident"), F.max("n").alias("n"), F.bit_or("bit").alias("mask"))
-    single = single.withColumn("h", F.xxhash64(F.lit(seed), "k1", "k2"))
+    spark = records.sparkSession
+    place = F.coalesce(*[F.when(F.col(source) == s, F.lit(k)) for k, s in enumerate(names)]) if names else F.lit(None).cast("int")
+    held = records.select(F.col(ident).alias("ident"), F.col(size).cast("bigint").alias("n"), place.alias("k"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(3), text).alias("k2"))
+    held = held.filter("ident is not null and n > 0 and k is not null")
+    # texts become two hashes; a record is written without its text, and read three times
+    single = held.groupBy("k1", "k2").agg(F.min("ident").alias("ident"), F.max("n").alias("n"), F.concat_ws(",", F.transform(F.array_sort(F.collect_set("k")), lambda k: k.cast("string"))).alias("pattern"))
+    single = (scratch or Scratch(spark)).write(single.withColumn("h", F.xxhash64(F.lit(seed), "k1", "k2")))
     # one row a membership pattern that occurs
-    sums = single.groupBy("mask").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("records")).collect()
-    tokens = {int(r["mask"]): int(r["tokens"]) for r in sums}
+    sums = single.groupBy("pattern").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("records")).collect()
+    mask_of = {r["pattern"]: sum(1 << int(k) for k in r["pattern"].split(",")) for r in sums}
+    pattern_of = {m: p for p, m in mask_of.items()}
+    tokens = {mask_of[r["pattern"]]: int(r["tokens"]) for r in sums}
     plan = plan_mix(tokens, [t[1] for t in targets], [t[2] for t in targets], total)
     schema = f"{ident} {records.schema[ident].dataType.simpleString()}, source string, repeats int, {size} bigint"
     rows, used = [], {}
     for (mask, k), amount in sorted(plan.routes.items()):
         lo = used.get(mask, 0)
-        rows.append((mask, lo, lo + amount, names[k]))
+        rows.append((pattern_of[mask], lo, lo + amount, names[k]))
         used[mask] = lo + amount
     if not rows:
-        return records.sparkSession.createDataFrame([], schema), plan
-    spark = records.sparkSession
-    routes = F.broadcast(spark.createDataFrame(rows, "mask bigint, lo bigint, hi bigint, source string"))
-    axes = F.broadcast(spark.createDataFrame([(m, tokens[m], u) for m, u in used.items()], "mask bigint, round bigint, used bigint"))
+        return spark.createDataFrame([], schema), plan
+    routes = spark.createDataFrame(rows, "pattern string, lo bigint, hi bigint, source string")
+    axes = spark.createDataFrame([(pattern_of[m], tokens[m], u) for m, u in used.items()], "pattern string, round bigint, used bigint")
+    if len(rows) <= FEW_ROUTES:
+        routes, axes = F.broadcast(routes), F.broadcast(axes)
     bits = max(0, math.ceil(math.log2(max(1, sum(int(r["records"]) for r in sums) / ROWS_A_BUCKET))))
     cut = single.withColumn("bucket", F.shiftright("h", 63 - bits) if bits else F.lit(0).cast("bigint"))
-    before = cut.groupBy("mask", "bucket").agg(F.sum("n").alias("s")).select(
-        "mask", "bucket", (F.sum("s").over(Window.partitionBy("mask").orderBy("bucket")) - F.col("s")).alias("before"))
-    inside = F.sum("n").over(Window.partitionBy("mask", "bucket").orderBy("h", "k1", "k2").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    placed = cut.withColumn("inside", inside).join(before, ["mask", "bucket"]).withColumn("at", F.col("before") + F.col("inside")).join(axes, "mask")
+    before = cut.groupBy("pattern", "bucket").agg(F.sum("n").alias("s")).select(
+        "pattern", "bucket", (F.sum("s").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("s")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("pattern", "bucket").orderBy("h", "k1", "k2").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    placed = cut.withColumn("inside", inside).join(before, ["pattern", "bucket"]).withColumn("at", F.col("before") + F.col("inside")).join(axes, "pattern")
     # the n-th use of a record lies one round of its pattern's tokens further on
     uses = placed.filter("at < used").withColumn("use", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("used") - 1 - F.col("at")) / F.col("round")))))
     spot = F.col("at") + F.col("use") * F.col("round")
-    chosen = uses.withColumn("spot", spot).join(routes, "mask").filter("spot >= lo and spot < hi")
+    chosen = uses.withColumn("spot", spot).join(routes, "pattern").filter("spot >= lo and spot < hi")
     return chosen.groupBy("ident", "source", "n").agg(F.count(F.lit(1)).cast("int").alias("repeats")).select(
         F.col("ident").alias(ident), "source", "repeats", F.col("n").alias(size)), plan

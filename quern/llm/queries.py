@@ -92,13 +92,12 @@ def p8_scores(spark, d):
 
 # 6: containers of each capacity -------------------------------------------------------------------------------------
 def _token_sizes(spark, d, *columns):
-    docs = table(spark, d, "documents").select("doc_id", *columns, token_count(F.col("text"), VOCABULARY).alias("n_tokens"))
-    return Scratch(spark).write(docs)
+    return table(spark, d, "documents").select("doc_id", *columns, token_count(F.col("text"), VOCABULARY).alias("n_tokens"))
 
 
 def _packs(spark, d):
     rows = table(spark, d, "pack_capacity").filter("capacity_tokens > 0").select("pack_name", "capacity_tokens").distinct().collect()
-    sized = _token_sizes(spark, d)
+    sized = Scratch(spark).write(_token_sizes(spark, d))
     return [(r["pack_name"], r["capacity_tokens"], *packing.pack(sized, "doc_id", "n_tokens", r["capacity_tokens"])) for r in sorted(rows)]
 
 
@@ -138,6 +137,7 @@ def p7_selection(spark, d):
 def p7_shares(spark, d):
     """Target and reached share of each source."""
     targets, chosen, _ = _mixed(spark, d)
+    chosen = Scratch(spark).write(chosen)
     got = chosen.groupBy("source").agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_repeats"))
     want = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
     total = chosen.agg(F.sum(F.col("repeats") * F.col("n_tokens"))).first()[0] or 0

@@ -84,3 +84,12 @@ def test_empty(spark):
         chosen, plan = mixing.mix(df, "doc", "text", "source", "n", targets)
         assert chosen.count() == 0 and plan.total == 0 and chosen.columns == ["doc", "source", "repeats", "n"]
     assert F is not None
+
+
+def test_any_number_of_sources(spark):
+    """A hundred sources, some of whose texts are held by several."""
+    rows = [(i, f"t{i // 2 if i % 5 == 0 else i}", f"s{i % 100:02d}", 10) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc bigint, text string, source string, n bigint")
+    chosen, plan = mixing.mix(df, "doc", "text", "source", "n", [(f"s{k:02d}", 0.01, 2) for k in range(100)])
+    got = {r["source"]: r["t"] for r in chosen.groupBy("source").agg(F.sum(F.col("n") * F.col("repeats")).alias("t")).collect()}
+    assert len(got) == 100 and max(got.values()) - min(got.values()) <= 40 and plan.total > 0
