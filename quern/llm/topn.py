@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
+
+try:  # the bounded-heap aggregate is not part of the public API
+    from pyspark.sql.internal import InternalFunction
+
+    HEAP = hasattr(InternalFunction, "collect_top_k")
+except ImportError:
+    HEAP = False
 
 
 def top_n(df: DataFrame, groups: list[str], score: str, ident: str, n: int) -> DataFrame:
@@ -16,7 +22,8 @@ def top_n(df: DataFrame, groups: list[str], score: str, ident: str, n: int) -> D
     an empty table gives no rows; other columns are not read.
 
     The aggregate keeps a heap of ``n`` items a group, filled before the shuffle and merged after it: of a group with a
-    large part of the log each task sends ``n`` items.
+    large part of the log each task sends ``n`` items. Where Spark lacks that aggregate, a ranking window does it, which
+    Spark limits to ``n`` rows a group before the shuffle too.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
@@ -24,6 +31,10 @@ def top_n(df: DataFrame, groups: list[str], score: str, ident: str, n: int) -> D
     for g in groups:
         rows = rows.filter(F.col(g).isNotNull())
     rows = rows.filter(F.col("item.score").isNotNull() & F.col("item.ident").isNotNull())
+    if not HEAP:
+        best = Window.partitionBy(*groups).orderBy(F.desc("item"))
+        ranked = rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
+        return ranked.select(*groups, F.col("item.ident").alias(ident), F.col("item.score").alias(score), "rank")
     kept = rows.groupBy(*groups).agg(InternalFunction.collect_top_k(F.col("item"), n, False).alias("items"))
     return kept.select(*groups, F.posexplode("items").alias("pos", "item")).select(
         *groups, F.col("item.ident").alias(ident), F.col("item.score").alias(score), (F.col("pos") + 1).alias("rank"))
