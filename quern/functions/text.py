@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -156,6 +158,16 @@ def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
+@F.pandas_udf(T.StructType([T.StructField("bits", T.DoubleType()), T.StructField("length", T.LongType())]))
+def char_entropy(text: pd.Series) -> pd.DataFrame:
+    """Shannon bits a character and the number of characters; 0 and 0 for null and empty texts."""
+    out = []
+    for t in text:
+        n = len(t) if isinstance(t, str) else 0
+        out.append((math.log2(n) - sum(k * math.log2(k) for k in Counter(t).values() if k > 1) / n if n else 0.0, n))
+    return pd.DataFrame(out, columns=["bits", "length"])
+
+
 @F.pandas_udf(_longs("graphemes", "emoji", "words"))
 def grapheme_counts(text: pd.Series) -> pd.DataFrame:
     out = []

@@ -5,7 +5,7 @@ Each layer is a grouped DataFrame (pubkey, layer, value, evidence) over a window
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
@@ -72,15 +72,10 @@ def _author_text(window: DataFrame) -> DataFrame:
 def entropy_layer(window: DataFrame) -> DataFrame:
     """Bits a character of all contents together, and the densities of emoji and topics; the strongest of the three."""
     texts = _author_text(window)
-    # characters of equal events are counted once for each event, before the shuffle
-    chars = texts.select("pubkey", F.explode(F.split("t", "")).alias("c")).groupBy("pubkey", "c").agg(F.count(F.lit(1)).alias("k")).filter("c <> ''")
-    w = Window.partitionBy("pubkey")
-    p = F.col("k") / F.sum("k").over(w)
-    h = chars.select("pubkey", (-p * F.log2(p)).alias("e"), "k").groupBy("pubkey").agg(F.sum("e").alias("h"), F.sum("k").alias("length"))
-    counts = texts.select("pubkey", X.grapheme_counts("t").alias("g"), F.size(F.filter(F.split("t", " "), lambda x: x.startswith("#"))).alias("topics"))
     one = F.lit(1)
-    j = counts.join(h, "pubkey", "left").select(
-        "pubkey", F.coalesce("h", F.lit(0.0)).alias("h"), F.coalesce("length", F.lit(0)).alias("length"),
+    counts = texts.select("pubkey", X.char_entropy("t").alias("e"), X.grapheme_counts("t").alias("g"), F.size(F.filter(F.split("t", " "), lambda x: x.startswith("#"))).alias("topics"))
+    j = counts.select(
+        "pubkey", F.col("e.bits").alias("h"), F.col("e.length").alias("length"),
         (F.col("g.emoji") / F.greatest("g.graphemes", one)).alias("emoji"), (F.col("topics") / F.greatest("g.words", one)).alias("topic"))
     clamp = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
     low = F.when(F.col("length") < LEAST_LENGTH, 0.0).otherwise(clamp((ENTROPY_LOW + 1.0) - F.col("h")))
