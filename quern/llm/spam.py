@@ -49,10 +49,10 @@ zum zur im am auf aus bei für nach wenn dass ich du er sie es wir ihr mein dein
 os as um uma uns umas e ou do da dos das na nos nas em com foi são não mas mais muito seu sua meu minha há ninguém ontem
 ainda além outro les une et ou à au aux dans avec pour qui est sont ne pas mais très son sa mon ma ton il elle hier
 personne sauf depuis encore mieux chaque trop autre car
-""".split()) | {""}
+""".split()) | {"", None}
 
 _LINKISH = re.compile(r"<a\s[^>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\n]*\)|(?:https?|wss?)://\S+|nostr:\w+|(?<!\w)@\w+|#[\w-]+")
-_CHUNKS = re.compile(r"(?<=[.!?…])[ \t]+|(?<=[。！？])|[\r\n]+")
+_CUT = re.compile(r"[.!?…][ \t]+|[。！？]|[\r\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _KANA = re.compile(r"[぀-ゟ]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -83,9 +83,20 @@ def _cjk_words(text: str) -> tuple[list[str], int]:
     return words, kana
 
 
+def _pieces(text: str) -> list[str]:
+    """A text cut at line ends and behind the marks that end a sentence."""
+    out, at = [], 0
+    for m in _CUT.finditer(text):
+        i = m.start()
+        out.append(text[at:i if text[i] in "\r\n" else i + 1])
+        at = m.end()
+    out.append(text[at:])
+    return out
+
+
 def _between(x: float, lo: float, hi: float) -> float:
     """0 up to ``lo``, 1 from ``hi`` on, in proportion between them."""
-    return min(1.0, max(0.0, (x - lo) / (hi - lo)))
+    return 0.0 if x <= lo else 1.0 if x >= hi else (x - lo) / (hi - lo)
 
 
 def page_features(text: str | None) -> tuple[float, ...]:
@@ -97,12 +108,11 @@ def page_features(text: str | None) -> tuple[float, ...]:
     far the share of function words falls short of 0.3. ``CREDIT`` words are added to every denominator."""
     if not text or not text.strip():
         return (0.0,) * N
-    words: Counter = Counter()
-    pairs: Counter = Counter()
+    line: list = []  # the words of all pieces, None between two of them
     pieces = []
     n_links = n_all = n_function = 0
     plain = FUNCTION_WORDS.__contains__
-    for chunk in _CHUNKS.split(text):
+    for chunk in _pieces(text):
         chunk = chunk.strip()
         if not chunk:
             continue
@@ -122,13 +132,14 @@ def page_features(text: str | None) -> tuple[float, ...]:
         n_all += n + linked
         n_links += linked
         n_function += f
-        logged = _LOG.match(chunk) is not None
+        if phrase is not None:  # kana between words do not part them
+            low = [w for w in low if w]
+        logged = chunk[0] in "[0123456789" and _LOG.match(chunk) is not None
         if not logged:
-            words.update(low)
-            if phrase is not None:  # kana between words do not part them
-                low = [w for w in low if w]
-            pairs.update(zip(low, low[1:]))
+            line += low
+            line.append(None)
         pieces.append((n, f, linked, low, rest, phrase, logged))
+    words, pairs = Counter(line), Counter(zip(line, line[1:]))
     total = sum(k for w, k in words.items() if w not in FUNCTION_WORDS)
     often = {p for p, k in pairs.items() if k >= 3 and k * 200 >= total and not (plain(p[0]) or plain(p[1]))}
     hot = {w for w, k in words.items() if k >= 4 and k * 25 >= total and not plain(w)}
