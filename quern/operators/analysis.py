@@ -91,17 +91,23 @@ def duplicate_clusters(window: DataFrame, threshold: float = 0.8, k: int = 3, sc
     """Clusters of equal and similar contents within each author's window: (pubkey, cluster, kind, n), kind 'exact' or
     'near', cluster the smallest ``lev_id`` in it; single events have no row.
 
-    Events of one author with one normal form are a class; classes are joined on shared shingles (an exact inverted
-    index), sizes rule out pairs that cannot reach the threshold, components close the relation."""
+    Events of one author with one normal form are a class. Two classes at the threshold share a shingle among the first
+    ``size - ceil(threshold * size) + 1`` of each in any fixed order, so only these are joined; sizes rule out pairs that
+    cannot reach the threshold, the others are compared in full, components close the relation."""
     scratch = scratch or Scratch(window.sparkSession)
     base = window.select("pubkey", "lev_id", X.compose(F.col("content")).alias("key"))
-    classes = scratch.write(base.groupBy("pubkey", "key").agg(F.min("lev_id").alias("node"), F.count(F.lit(1)).alias("n")).withColumn("sh", X.space_shingles(F.col("key"), k)).withColumn("size", F.size("sh")))
-    s = classes.select("pubkey", "node", "size", F.explode("sh").alias("g"))
+    sets = base.groupBy("pubkey", "key").agg(F.min("lev_id").alias("node"), F.count(F.lit(1)).alias("n")).withColumn("sh", X.space_shingles(F.col("key"), k))
+    ordered = F.array_sort(F.transform("sh", lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    classes = scratch.write(sets.select("pubkey", "node", "n", F.transform(ordered, lambda x: x["g"]).alias("sh"), F.size("sh").alias("size")))
+    some = F.slice("sh", F.lit(1), (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int"))
+    s = classes.filter("size > 0").select("pubkey", "node", "size", F.explode(some).alias("g"))
     a, b = s.alias("a"), s.alias("b")
-    small = (F.greatest("a.size", "b.size") - F.least("a.size", "b.size")) / F.greatest("a.size", "b.size") <= 1 - threshold + 1e-12
-    shared = a.join(b, (F.col("a.pubkey") == F.col("b.pubkey")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.node") < F.col("b.node")) & small).groupBy(
-        F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.size").alias("sa"), F.col("b.size").alias("sb")).agg(F.count(F.lit(1)).alias("common"))
-    edges = shared.filter(F.col("common") >= threshold * (F.col("sa") + F.col("sb") - F.col("common")) - 1e-9).select("a", "b")
+    small = F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size") - 1e-9
+    pairs = a.join(b, (F.col("a.pubkey") == F.col("b.pubkey")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.node") < F.col("b.node")) & small).select(
+        F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("sh").alias(f"s{x}"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    edges = pairs.join(side("a"), "a").join(side("b"), "b").filter(common >= threshold * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
     parts = connected_components(edges, scratch)
     whole = classes.join(parts, "node", "left").select("pubkey", F.coalesce("component", "node").alias("cluster"), "n")
     return whole.groupBy("pubkey", "cluster").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys")).filter("n >= 2").select(
