@@ -178,6 +178,12 @@ def cluster_report(reached: DataFrame, trusted: DataFrame, bridges: DataFrame, l
     return j.withColumn("score", F.col("cluster_size") / F.col("weight")).orderBy(F.desc("score"), F.desc("cluster_size"), "bridge")
 
 
+def cluster_members(reached: DataFrame, trusted: DataFrame, bridges: DataFrame, least: int = 5) -> DataFrame:
+    """(bridge, node) of the clusters in ``cluster_report``, all of their nodes."""
+    told = cluster_report(reached, trusted, bridges, least).select("bridge")
+    return reached.join(trusted.select("node"), "node", "left_anti").join(told, "bridge", "left_semi").select("bridge", "node")
+
+
 # -- crawl scheduling -------------------------------------------------------------------------------------------------
 def backoff(misses: Column, base: int = BASE, ratio: float = RATIO, cap: int = CAP) -> Column:
     """base * ratio^misses up to the cap; base if there was no miss or the ratio does not grow."""

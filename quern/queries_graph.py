@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import graph as G
 from quern.session import Scratch
+from quern.sources import jsonl
 from quern.sources.tables import HEX64, effective_profiles, event_log, follow_edges, table
 
 NOW = 1_745_000_000
@@ -172,6 +173,21 @@ def gr_trust_clusters(spark, d):
     return G.cluster_report(G.beneath(e, b), t, b).withColumn("score", F.round("score", 6))
 
 
+def gr_trust_report(spark, d):
+    """The report of the whole scan as a file with a header, read back."""
+    at = Scratch(spark).base + "/report"
+    jsonl.write_report(gr_trust_clusters(spark, d), at)
+    return spark.read.csv(f"{at}/csv", header=True, schema="bridge bigint, cluster_size bigint, weight bigint, score double")
+
+
+def gr_trust_members(spark, d):
+    """Who is in the clusters that the whole scan reports."""
+    e = graph(spark, d)
+    t = _closed(e)
+    b = Scratch(spark).write(G.weak_bridges(e, t))
+    return G.cluster_members(Scratch(spark).write(G.beneath(e, b)), t, b)
+
+
 def gr_frontier(spark, d):
     return G.frontier(profiles(spark, d), 500, NOW).select("uid", "phase")
 
@@ -382,6 +398,9 @@ ORACLE |= {
     "gr_trust_endorsements": f"{_SCAN} SELECT * FROM w",
     "gr_trust_bridges": f"{_SCAN} SELECT * FROM w WHERE weight BETWEEN 1 AND 2",
     "gr_trust_beneath": f"{_SCAN}, {_THREE} SELECT bridge, count(*) AS n FROM c GROUP BY 1",
+    "gr_trust_members": f"""{_SCAN}, {_THREE}, m AS (SELECT * FROM c WHERE node NOT IN (SELECT node FROM t))
+        SELECT bridge, node FROM m WHERE bridge IN (SELECT bridge FROM m GROUP BY 1 HAVING count(*) >= 5)""",
     "gr_trust_clusters": f"""{_SCAN}, {_THREE} SELECT bridge, count(*) AS cluster_size, max(weight) AS weight, round(count(*) / max(weight), 6) AS score
         FROM c JOIN w ON w.node = c.bridge WHERE c.node NOT IN (SELECT node FROM t) GROUP BY 1 HAVING count(*) >= 5""",
 }
+ORACLE["gr_trust_report"] = ORACLE["gr_trust_clusters"]

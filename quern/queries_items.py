@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quern.functions import index_keys
 from quern.operators import events as E
 from quern.operators import graph as G
 from quern.queries_analysis import allowed_of
@@ -118,6 +119,36 @@ def it_sorted_keys(spark, d):
     return global_rank(effective_profiles(spark, d).filter("pubkey is not null").select("pubkey", "uid"), ["pubkey", "uid"]).select("uid", "idx")
 
 
+def it_tag_values(spark, d):
+    """Every tag value as the bytes of an index."""
+    t = event_log(spark, d).select("lev_id", F.posexplode("tags").alias("pos", "t")).select("lev_id", "pos", F.get("t", F.lit(1)).alias("v")).filter("v is not null")
+    return t.select("lev_id", "pos", F.lower(F.hex(index_keys.value_bytes(F.col("v")))).alias("bytes"))
+
+
+def it_index_order(spark, d):
+    """Events ranked by the bytes of (author, kind, time, number): the order of the typed columns."""
+    from quern.operators.ranking import global_rank
+
+    n = index_keys.number_bytes
+    e = event_log(spark, d).filter(F.col("pubkey").rlike(HEX64)).select("lev_id", "created_at", index_keys.key(F.unhex("pubkey"), n(F.col("kind")), n(F.col("created_at"))).alias("key")).filter("key is not null")
+    ranked = global_rank(e.select("lev_id", "created_at", index_keys.key(F.col("key"), n(F.col("lev_id"))).alias("key"), F.col("key").alias("short")), ["key"])
+    return ranked.select("lev_id", "idx", (index_keys.number_at_end(F.col("short")) == F.col("created_at")).alias("same"))
+
+
+def it_seek(spark, d):
+    """For each author the next one, found as the first key from its successor on."""
+    a = event_log(spark, d).filter(F.col("pubkey").rlike(HEX64)).select("pubkey").distinct()
+    return a.select("pubkey", F.lower(F.hex(index_keys.successor(F.unhex("pubkey")))).alias("from_key"))
+
+
+def it_chunks(spark, d):
+    """The keys of the graph in chunks of two hundred, in order: first, last and size of each."""
+    from quern.operators.ranking import global_rank
+
+    r = global_rank(effective_profiles(spark, d).filter("pubkey is not null").select("pubkey", "uid"), ["pubkey", "uid"])
+    return r.groupBy(F.floor((F.col("idx") - 1) / 200).alias("chunk")).agg(F.min("pubkey").alias("first"), F.max("pubkey").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
 def it_crawl_averages(spark, d):
     """Mean misses and waits by whether a Profile has a list."""
     p = effective_profiles(spark, d)
@@ -154,4 +185,13 @@ ORACLE = {
     "it_key_prefixes": "SELECT substr(pubkey, 1, 8) AS prefix, count(*) AS n FROM seed_events WHERE pubkey IS NOT NULL GROUP BY 1",
     "it_sorted_keys": f"WITH {_P} SELECT uid, row_number() OVER (ORDER BY pubkey, uid) AS idx FROM p WHERE pubkey IS NOT NULL",
     "it_crawl_averages": f"WITH {_P} SELECT kind3createdat IS NOT NULL AS has_list, count(*) AS n, round(avg(miss_count), 6) AS misses, round(avg(next_attempt - last_attempt), 3) AS wait FROM p GROUP BY 1",
+    "it_tag_values": """SELECT lev_id, CAST(pos - 1 AS INTEGER) AS pos, CASE WHEN regexp_full_match(v, '[0-9a-f]{64}') THEN v ELSE lower(hex(encode(v))) END AS bytes
+        FROM (SELECT lev_id, g[2] AS v, pos FROM (SELECT lev_id, unnest(tags) AS g, generate_subscripts(tags, 1) AS pos FROM seed_events)) WHERE v IS NOT NULL""",
+    "it_index_order": """SELECT lev_id, row_number() OVER (ORDER BY pubkey, kind, created_at, lev_id) AS idx, true AS same FROM seed_events
+        WHERE regexp_full_match(pubkey, '[0-9a-f]{64}') AND kind >= 0 AND created_at >= 0""",
+    "it_seek": """SELECT DISTINCT pubkey, CASE WHEN regexp_matches(pubkey, '[0-9a-e]f*$') THEN regexp_extract(pubkey, '^(.*)[0-9a-e]f*$', 1)
+        || translate(regexp_extract(pubkey, '([0-9a-e])f*$', 1), '0123456789abcde', '123456789abcdef') || repeat('0', 63 - length(regexp_extract(pubkey, '^(.*)[0-9a-e]f*$', 1))) END AS from_key
+        FROM seed_events WHERE regexp_full_match(pubkey, '[0-9a-f]{64}')""",
+    "it_chunks": f"""WITH {_P}, r AS (SELECT pubkey, row_number() OVER (ORDER BY pubkey, uid) AS idx FROM p WHERE pubkey IS NOT NULL)
+        SELECT (idx - 1) // 200 AS chunk, min(pubkey) AS first, max(pubkey) AS last, count(*) AS n FROM r GROUP BY 1""",
 }

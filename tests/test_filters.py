@@ -116,3 +116,18 @@ def test_empty_log(spark):
     empty = spark.createDataFrame([], "lev_id bigint, id string, pubkey string, created_at bigint, kind bigint, tags array<array<string>>, content string, sig string")
     assert E.stats(empty).first().asDict() == {"event_count": 0, "max_lev_id": 0, "db_version": 1}
     assert E.page(empty, EventFilter()).count() == 0 == E.authors(empty).count()
+
+
+def test_index_keys(spark):
+    from quern.functions import index_keys as K
+
+    rows = [("00" * 32, 0), ("00" * 31 + "ff", 255), ("0f" * 32, 256), ("ff" * 32, 2**63 - 1), ("ab" * 31 + "9f", 1_700_000_255)]
+    df = spark.createDataFrame(rows + [(None, None)], "k string, n bigint").select("k", "n", F.unhex("k").alias("b"))
+    got = df.select("k", "n", F.lower(F.hex(K.successor(F.col("b")))).alias("s"), K.number_at_end(K.key(F.col("b"), K.number_bytes(F.col("n")))).alias("back")).collect()
+    for r in got:
+        after = int(r["k"], 16) + 1 if r["k"] else None
+        assert r["back"] == r["n"] and r["s"] == (f"{after:064x}" if after and after < 1 << 256 else None)
+    order = spark.createDataFrame([(i,) for i in (256, 255, 0, 1_700_000_256, 1_700_000_255)], "n bigint").orderBy(K.number_bytes(F.col("n")))
+    assert [r[0] for r in order.collect()] == [0, 255, 256, 1_700_000_255, 1_700_000_256]
+    v = spark.createDataFrame([("aB",), ("a" * 64,), ("A" * 64,), ("é",), (None,)], "v string").select(F.hex(K.value_bytes(F.col("v"))))
+    assert [r[0] for r in v.collect()] == ["6142", "AA" * 32, "41" * 64, "C3A9", None]
