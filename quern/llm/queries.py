@@ -121,6 +121,20 @@ def p6_fill(spark, d):
     return spark.createDataFrame(rows, "pack_name string, capacity_tokens int, containers bigint, fewest bigint, tokens bigint, filled double, program_value double, columns int, steps int, rounded bigint, longest_first bigint, packed_by string")
 
 
+def p6_audit(spark, d):
+    """For each pack: documents placed, containers over their capacity, documents cut though they fit, and documents whose
+    pieces do not add up to their tokens."""
+    sized = Scratch(spark).write(_token_sizes(spark, d))
+    placed = Scratch(spark).write(p6_containers(spark, d))
+    packs = table(spark, d, "pack_capacity").select("pack_name", "capacity_tokens").distinct()
+    full = placed.filter("length > 0").groupBy("pack_name", "container").agg(F.sum("length").alias("held")).join(packs, "pack_name")
+    over = full.groupBy("pack_name").agg(F.count_if(F.col("held") > F.col("capacity_tokens")).alias("overfull"))
+    docs = placed.groupBy("pack_name", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("length").alias("held")).join(sized, "doc_id").join(packs, "pack_name")
+    each = docs.groupBy("pack_name").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("capacity_tokens"))).alias("cut_in_vain"), F.count_if(F.col("held") != F.col("n_tokens")).alias("wrong_size"))
+    return each.join(over, "pack_name").select("pack_name", "documents", "overfull", "cut_in_vain", "wrong_size")
+
+
 # 7: a mixture of sources --------------------------------------------------------------------------------------------
 def _mixed(spark, d):
     targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, d, "mix_targets").filter("source is not null and target_share > 0").collect()]
@@ -147,8 +161,25 @@ def p7_shares(spark, d):
         (tokens / F.lit(float(total)) if total else F.lit(0.0)).alias("actual_share"))
 
 
+def p7_audit(spark, d):
+    """For each source that has a target and documents: whether its share, among those that have documents, is met to a
+    hundredth; its documents used too often, and those whose text is chosen under another number too."""
+    targets, chosen, _ = _mixed(spark, d)
+    chosen = Scratch(spark).write(chosen)
+    want = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
+    texts = table(spark, d, "documents").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    kept = chosen.join(texts, "doc_id").join(want, "source")
+    copies = kept.select("doc_id", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
+    each = kept.join(copies, ["h1", "h2"]).groupBy("source").agg(
+        F.sum(F.col("repeats") * F.col("n_tokens")).alias("tokens"), F.max("target_share").alias("target"), F.count_if(F.col("repeats") > F.col("max_repeats")).alias("too_often"), F.count_if(F.col("copies") > 1).alias("copies"))
+    each = Scratch(spark).write(each)
+    tokens, target = each.agg(F.sum("tokens"), F.sum("target")).first()
+    met = F.abs(F.col("tokens") / F.lit(float(tokens or 1)) - F.col("target") / F.lit(float(target or 1))) < 0.01
+    return each.select("source", met.alias("met"), "too_often", "copies")
+
+
 QUERIES = {f.__name__: f for f in (
-    p2_found, p2_groups, p2_document_groups, p4_found, p4_ranked, p5_found, p5_scores, p5_source_rates, p6_containers, p6_fill, p7_selection, p7_shares,
+    p2_found, p2_groups, p2_document_groups, p4_found, p4_ranked, p5_found, p5_scores, p5_source_rates, p6_containers, p6_fill, p6_audit, p7_selection, p7_shares, p7_audit,
     p8_found, p8_scores)}
 
 _NEWEST = """
@@ -159,4 +190,8 @@ _NEWEST = """
 ORACLE = {
     "p4_found": _NEWEST + " SELECT pubkey, kind, lev_id FROM r WHERE rn <= 3",
     "p4_ranked": _NEWEST + " SELECT pubkey, kind, lev_id, created_at, CAST(rn AS INTEGER) AS rank FROM r WHERE rn <= 10",
+    # what any right answer shows
+    "p6_audit": "SELECT pack_name, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0 AS overfull, 0 AS cut_in_vain, 0 AS wrong_size FROM (SELECT DISTINCT pack_name FROM pack_capacity)",
+    "p7_audit": """SELECT source, true AS met, 0 AS too_often, 0 AS copies FROM mix_targets WHERE target_share > 0 AND source IN
+        (SELECT regexp_replace(lower(trim(source)), '[- ]', '_', 'g') FROM documents WHERE text IS NOT NULL AND text <> '')""",
 }
