@@ -15,7 +15,7 @@ PLAIN, NEGATED, SELF, REPORTED, QUOTED = range(5)
 END, QUOTE, COMMA = "|", '"', ","
 _PIECE = re.compile(r"[()|?*]|\{\d+,\d+\}|<\w+>|[^\s()|?*{}<>]+")
 #: a table is begun anew beyond so many states; results do not change
-MOST_STATES = 20_000
+MOST_STATES = 10_000
 
 
 class Machine:
