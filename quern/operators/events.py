@@ -92,10 +92,12 @@ def missing(events: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("lev_id").distinct().join(events.select("lev_id"), "lev_id", "left_anti")
 
 
-def by_author(wanted: DataFrame, events: DataFrame) -> DataFrame:
-    """``wanted(ord, pubkey)`` with the number and list of event ids of each author, empty lists where there are none;
-    every row of ``wanted`` stays, in its order. For lists that are bounded, such as newest per author."""
-    groups = events.groupBy("pubkey").agg(F.sort_array(F.collect_list("lev_id")).alias("lev_ids"))
+def by_author(wanted: DataFrame, events: DataFrame, most: int = MOST_PER_AUTHOR) -> DataFrame:
+    """``wanted(ord, pubkey)`` with the list of event numbers of each author, of more than ``most`` the highest; empty lists
+    where there are none; every row of ``wanted`` stays. The bound is part of the answer, as of ``latest_per_author``."""
+    w = Window.partitionBy("pubkey").orderBy(F.desc("lev_id"))
+    kept = events.select("pubkey", "lev_id").withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= most)
+    groups = kept.groupBy("pubkey").agg(F.sort_array(F.collect_list("lev_id")).alias("lev_ids"))
     return wanted.join(groups, "pubkey", "left").select("ord", "pubkey", F.coalesce("lev_ids", F.array().cast("array<bigint>")).alias("lev_ids"))
 
 

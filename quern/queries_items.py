@@ -91,7 +91,7 @@ def it_reacted(spark, d):
 
 def it_sample(spark, d):
     """Five hundred authors in a seeded random order."""
-    return event_log(spark, d).filter("pubkey is not null").select("pubkey").distinct().orderBy(F.xxhash64("pubkey", F.lit(11)), "pubkey").limit(500)
+    return event_log(spark, d).filter("pubkey is not null").select("pubkey").distinct().orderBy(F.md5(F.concat(F.lit("11:"), "pubkey")), "pubkey").limit(500)
 
 
 def it_flatten(spark, d):
@@ -180,6 +180,7 @@ ORACLE = {
         SELECT lev_id FROM seed_events s WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.id = s.id AND i.pubkey = s.pubkey)""",
     "it_reacted": """WITH g AS (SELECT unnest(tags) AS t FROM seed_events WHERE kind = 7), i AS (SELECT DISTINCT t[2] AS id FROM g WHERE t[1] = 'e' AND len(t) >= 2 AND t[2] IS NOT NULL)
         SELECT lev_id FROM seed_events WHERE id NOT IN (SELECT id FROM i)""",
+    "it_sample": "SELECT pubkey FROM (SELECT DISTINCT pubkey FROM seed_events WHERE pubkey IS NOT NULL) ORDER BY md5('11:' || pubkey), pubkey LIMIT 500",
     "it_flatten": f"{_PE} SELECT src, dst FROM e WHERE dst IS NOT NULL",
     "it_messages": "SELECT 'new' AS type, kind, count(pubkey) AS n FROM seed_events GROUP BY kind",
     "it_key_prefixes": "SELECT substr(pubkey, 1, 8) AS prefix, count(*) AS n FROM seed_events WHERE pubkey IS NOT NULL GROUP BY 1",

@@ -61,11 +61,11 @@ def frame_tables(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def export_frame(nodes: DataFrame, edges: DataFrame) -> GraphFrame:
-    """The frame of a whole graph, for a viewer that takes at most 2^24 nodes; larger graphs are refused before any row
-    is fetched."""
+    """The frame of a whole graph, for a viewer that takes at most 2^24 nodes and 2^27 edges (1 GB); larger graphs are
+    refused before any row is fetched."""
     n, e = frame_tables(nodes, edges)
-    if n.count() > 1 << 24:
-        raise ValueError("a frame holds at most 2^24 nodes")
+    if n.count() > 1 << 24 or e.count() > 1 << 27:
+        raise ValueError("a frame holds at most 2^24 nodes and 2^27 edges")
     t, g = n.orderBy("idx").toArrow(), e.orderBy("a", "b").toArrow()
     keys = b"".join(bytes.fromhex(k) if k and len(k) == 64 else bytes(32) for k in t.column("pubkey").to_pylist())
     col = lambda x: t.column(x).to_numpy()
