@@ -13,6 +13,7 @@ to the containers by their rank among items of equal length.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,6 +67,13 @@ def fillings_with(lengths: np.ndarray, pick: np.ndarray, first: np.ndarray, capa
     return used
 
 
+def _each_filling(lengths: np.ndarray, pick: np.ndarray, ask: np.ndarray, capacity: int, block: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """(index, filling) for all of ``ask``, made a block at a time: a block takes 8 bytes a length and filling."""
+    for at in range(0, len(ask), block):
+        part = ask[at:at + block]
+        yield from zip(part, fillings_with(lengths, pick, part, capacity))
+
+
 @dataclass
 class Program:
     """A fractional solution: ``columns`` in the order they came in, each (indexes, items of each, containers); ``value``
@@ -96,12 +104,15 @@ def solve_program(lengths: np.ndarray, need: np.ndarray, capacity: int, step: fl
         ask = todo[worth >= least][::-1] if (worth >= least).any() else todo[[int(worth.argmax())]]
         missing = np.maximum(np.ceil(whole * (1 - covered) - DONE), 0).astype(np.int64)
         taken = False
-        for i, used in zip(ask, fillings_with(lengths, pick, ask, capacity)):
+        for i, used in _each_filling(lengths, pick, ask, capacity):
             if covered[i] >= 1 - DONE:
                 continue
             used = np.minimum(used, missing)
             _fill_up(used, missing, lengths, capacity)
             on = np.flatnonzero(used)
+            if not on.size:  # what is missing is below the precision
+                covered[i], taken = 1.0, True
+                continue
             n = used[on]
             if taken and (prices[on] * n).sum() < least:
                 continue
