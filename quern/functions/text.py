@@ -18,7 +18,9 @@ FNV_OFFSET, FNV_PRIME, MASK = 0xCBF29CE484222325, 0x100000001B3, 0xFFFFFFFFFFFFF
 # code points that start an emoji grapheme: fixed values
 EMOJI = ((0x1F300, 0x1FAFF), (0x2600, 0x27BF), (0x1F1E6, 0x1F1FF), (0xFE00, 0xFE0F))
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@\s]*@)?([^/?#:@\s]+)"
-_WORDS = regex.compile(r"\b\w(?:[\w'’.]*\w)?", regex.WORD | regex.V1)
+# words by the default boundaries: apostrophes and full stops join what they stand in, a colon only letters ("nostr:npub1")
+_W = r"[\p{L}\p{N}\p{M}_]"
+_WORDS = regex.compile(rf"{_W}(?:(?:[\p{{L}}\p{{N}}\p{{M}}_'’.]|\p{{L}}:\p{{L}})*{_W})?")
 _GRAPHEME = regex.compile(r"\X")
 
 

@@ -234,3 +234,24 @@ ORACLE |= {
         j AS (SELECT pubkey, string_agg(t, ' ') AS t FROM n GROUP BY 1), c AS (SELECT pubkey, ch, count(*) AS k FROM (SELECT pubkey, unnest(list_transform(range(1, length(t) + 1), lambda i: array_extract(t, i))) AS ch FROM j) GROUP BY 1, 2),
         h AS (SELECT pubkey, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS h FROM c GROUP BY 1) SELECT j.pubkey, round(coalesce(h, 0), 6) AS bits FROM j LEFT JOIN h ON h.pubkey = j.pubkey""",
 }
+
+# SimHash of each content of a window: words, runs of three, FNV-1a of their bytes, a vote of every bit
+_WORD_SQL = r"[\p{L}\p{N}\p{M}_](?:(?:[\p{L}\p{N}\p{M}_''’.]|\p{L}:\p{L})*[\p{L}\p{N}\p{M}_])?"
+_FNV_BYTES = ("list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(0, length(hx) // 2), lambda i: CAST(CAST('0x' || substr(hx, CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) AS HUGEINT))), "
+              "lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)")
+_SIGNED = "CAST(CASE WHEN {0} >= 9223372036854775808::HUGEINT THEN {0} - 18446744073709551616::HUGEINT ELSE {0} END AS BIGINT)"
+_SIMHASH = rf"""{WINDOW100},
+    n AS MATERIALIZED (SELECT pubkey, lev_id, trim(regexp_replace(lower(coalesce(content, '')), '[\s\p{{Z}}]+', ' ', 'g')) AS t FROM w),
+    d AS MATERIALIZED (SELECT t, hex(encode(t)) AS hx, regexp_extract_all(t, '{_WORD_SQL}') AS ws FROM (SELECT DISTINCT t FROM n)),
+    sg AS MATERIALIZED (SELECT t, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) ELSE [t] END) AS g FROM d),
+    hs AS MATERIALIZED (SELECT g, {_FNV_BYTES} AS h FROM (SELECT g, hex(encode(g)) AS hx FROM (SELECT DISTINCT g FROM sg))),
+    vt AS (SELECT t, b, sum(CASE WHEN (h // CAST(pow(2, b) AS HUGEINT)) % 2 = 1 THEN 1 ELSE -1 END) AS v FROM sg JOIN hs ON sg.g = hs.g, range(64) r(b) GROUP BY t, b),
+    si AS (SELECT t, sum(CASE WHEN v > 0 THEN CAST(pow(2, b) AS HUGEINT) ELSE 0 END) AS s FROM vt GROUP BY t),
+    f AS MATERIALIZED (SELECT n.pubkey, n.lev_id, {_SIGNED.format(_FNV_BYTES)} AS content_hash, {_SIGNED.format('CAST(s AS HUGEINT)')} AS simhash FROM n JOIN d ON d.t = n.t JOIN si ON si.t = n.t)"""
+ORACLE |= {
+    "layer_fingerprints": f"WITH {_SIMHASH} SELECT pubkey, content_hash, arg_min(simhash, lev_id) AS simhash FROM f WHERE pubkey IN (SELECT pubkey FROM f GROUP BY 1 HAVING count(*) >= 5) GROUP BY 1, 2",
+    "layer_duplicates": f"""WITH {_SIMHASH}, c AS MATERIALIZED (SELECT pubkey, simhash, count(*) AS n FROM f GROUP BY 1, 2),
+        k AS (SELECT DISTINCT a.pubkey, a.simhash FROM c a JOIN c b ON a.pubkey = b.pubkey AND a.simhash <> b.simhash AND bit_count(xor(a.simhash, b.simhash)) <= 3),
+        e AS (SELECT c.pubkey, sum(n) AS n, coalesce(sum(n) FILTER (WHERE n > 1 OR k.simhash IS NOT NULL), 0) AS i FROM c LEFT JOIN k ON k.pubkey = c.pubkey AND k.simhash = c.simhash GROUP BY 1)
+        SELECT pubkey, 'L1_near_duplicate' AS layer, CASE WHEN n < 5 THEN 0.0 ELSE i / n END AS value, '{{"clustered":' || i || ',"events":' || n || '}}' AS evidence FROM e""",
+}
