@@ -141,8 +141,8 @@ def layer_allow(spark, d):
 
 def scores(spark, d):
     """Signals of all layers, pivoted and combined."""
-    wide = L.pivot_signals(L.signals(stored_window(spark, d), allowed_of(spark, d)))
-    return L.combine(wide)
+    wide = L.combine(L.pivot_signals(L.signals(stored_window(spark, d), allowed_of(spark, d))))
+    return wide.select("pubkey", *[F.round(c, 9).alias(c) for c in (*L.LAYERS, "score")], "suspected")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -255,3 +255,27 @@ ORACLE |= {
         e AS (SELECT c.pubkey, sum(n) AS n, coalesce(sum(n) FILTER (WHERE n > 1 OR k.simhash IS NOT NULL), 0) AS i FROM c LEFT JOIN k ON k.pubkey = c.pubkey AND k.simhash = c.simhash GROUP BY 1)
         SELECT pubkey, 'L1_near_duplicate' AS layer, CASE WHEN n < 5 THEN 0.0 ELSE i / n END AS value, '{{"clustered":' || i || ',"events":' || n || '}}' AS evidence FROM e""",
 }
+
+# all layers of an author's window and their combination
+_EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{FE00}-\x{FE0F}]"
+_SIGNALS = rf"""{_SIMHASH}, c AS MATERIALIZED (SELECT pubkey, simhash, count(*) AS n FROM f GROUP BY 1, 2),
+    k AS (SELECT DISTINCT a.pubkey, a.simhash FROM c a JOIN c b ON a.pubkey = b.pubkey AND a.simhash <> b.simhash AND bit_count(xor(a.simhash, b.simhash)) <= 3),
+    l1 AS (SELECT c.pubkey, CASE WHEN sum(n) < 5 THEN 0.0 ELSE coalesce(sum(n) FILTER (WHERE n > 1 OR k.simhash IS NOT NULL), 0) / sum(n) END AS v FROM c LEFT JOIN k ON k.pubkey = c.pubkey AND k.simhash = c.simhash GROUP BY 1),
+    pe AS (SELECT d.t, length_grapheme(d.t) AS gr, len(ws) AS wd, len(list_filter(string_split(d.t, ' '), lambda x: starts_with(x, '#'))) AS tp, CASE WHEN NOT regexp_matches(d.t, '{_EMOJI}') THEN 0
+        ELSE len(list_filter(list_transform(range(1, length_grapheme(d.t) + 1), lambda i: substring_grapheme(d.t, i, 1)), lambda x: regexp_matches(x, '^{_EMOJI}'))) END AS em FROM d),
+    pa AS (SELECT pubkey, sum(gr) + count(*) - 1 AS gr, sum(wd) AS wd, sum(tp) AS tp, sum(em) AS em, string_agg(n.t, ' ') AS j FROM n JOIN pe ON pe.t = n.t GROUP BY 1),
+    ch AS (SELECT pubkey, x, count(*) AS k FROM (SELECT pubkey, unnest(list_transform(range(1, length(j) + 1), lambda i: array_extract(j, i))) AS x FROM pa) GROUP BY 1, 2),
+    en AS (SELECT pubkey, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS h, sum(k) AS len FROM ch GROUP BY 1),
+    l3 AS (SELECT pa.pubkey, greatest(CASE WHEN coalesce(len, 0) < 200 THEN 0 ELSE greatest(least(3.0 - h, 1), 0) END, greatest(least((coalesce(h, 0) - 5.0) / 0.5, 1), 0), least(em / greatest(gr, 1) / 0.5, 1), least(tp / greatest(wd, 1) / 0.3, 1)) AS v
+        FROM pa LEFT JOIN en ON en.pubkey = pa.pubkey),
+    ho AS (SELECT DISTINCT pubkey, lev_id, lower({HOST}) AS host FROM (SELECT pubkey, lev_id, unnest(regexp_split_to_array(coalesce(content, ''), '[\s\p{{Z}}]+')) AS tok FROM w) WHERE {HOST} <> ''),
+    th AS (SELECT pubkey, max(k) AS k FROM (SELECT pubkey, host, count(*) AS k FROM ho GROUP BY 1, 2) GROUP BY 1), uh AS (SELECT pubkey, count(DISTINCT lev_id) AS u FROM ho GROUP BY 1),
+    ba AS (SELECT pubkey, count(*) AS n, sum(len(list_filter(coalesce(tags, []), lambda x: x[1] = 'p'))) AS p, sum(len(list_filter(coalesce(tags, []), lambda x: x[1] = 't'))) AS t FROM w GROUP BY 1),
+    l4 AS (SELECT ba.pubkey, CASE WHEN n < 5 THEN 0 ELSE greatest(least(coalesce(u, 0) / n / 0.8, 1), least(coalesce(k / u, 0) / 0.7, 1), least(p / n / 10, 1), least(ba.t / n / 8, 1)) END AS v
+        FROM ba LEFT JOIN th ON ba.pubkey = th.pubkey LEFT JOIN uh ON ba.pubkey = uh.pubkey),
+    pr AS (SELECT * FROM profile_snapshot WHERE snapshot_no = 4 QUALIFY row_number() OVER (PARTITION BY uid ORDER BY kind3createdat DESC NULLS LAST, last_attempt DESC NULLS LAST, last_db_update DESC NULLS LAST) = 1),
+    al AS (SELECT DISTINCT pubkey FROM pr WHERE follower_count >= 20 AND pubkey IS NOT NULL),
+    sg4 AS MATERIALIZED (SELECT l4.pubkey, CASE WHEN al.pubkey IS NULL THEN 1.0 ELSE 0.0 END AS l0, l1.v AS l1, l3.v AS l3, l4.v AS l4 FROM l4 JOIN l1 ON l1.pubkey = l4.pubkey JOIN l3 ON l3.pubkey = l4.pubkey LEFT JOIN al ON al.pubkey = l4.pubkey),
+    sc4 AS MATERIALIZED (SELECT *, 1 / (1 + exp(-(-4.0 + 0.8 * l0 + 2.0 * l1 + 1.5 * l3 + 1.5 * l4))) AS score FROM sg4)"""
+ORACLE["scores"] = f"""WITH {_SIGNALS} SELECT pubkey, round(l0, 9) AS L0_whitelist, round(l1, 9) AS L1_near_duplicate, round(l3, 9) AS L3_content_entropy, round(l4, 9) AS L4_link_mention, round(score, 9) AS score,
+    CAST(score > 0.5 AS INTEGER) AS suspected FROM sc4"""

@@ -11,7 +11,7 @@ from quern.operators import events as E
 from quern.operators import gate, graph, layers, store, tune
 from quern.operators.analysis import SANE_UNTIL, sane_time
 from quern.operators.ranking import group_rank
-from quern.queries_analysis import FNV, HOST, WINDOW100, allowed_of, stored_window, window_of
+from quern.queries_analysis import _SIGNALS, FNV, HOST, WINDOW100, allowed_of, stored_window, window_of
 from quern.queries_graph import _E, _P
 from quern.session import Scratch
 from quern.sources import frames, jsonl, payloads
@@ -278,3 +278,5 @@ ORACLE = {
     "fn_review_hash": f"SELECT pubkey, {FNV.format('pubkey')} AS h FROM (SELECT DISTINCT pubkey FROM seed_events WHERE pubkey IS NOT NULL)",
     "st_review_sample": f"WITH {_LINKS} SELECT CAST(1 AS BIGINT) AS run_id, pubkey, round(score, 9) AS score FROM sc WHERE NOT score > 0.5 ORDER BY {FNV.format('pubkey')}, pubkey LIMIT 100",
 }
+ORACLE["st_export"] = f"""WITH {_SIGNALS}, rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, pubkey) AS rank FROM sc4 WHERE score > 0.1)
+    {" UNION ALL ".join(f"SELECT rank, pubkey, '{layer}' AS layer, round({v}, 6) AS value FROM rk" for layer, v in zip(layers.LAYERS, ("l0", "l1", "l3", "l4")))}"""
