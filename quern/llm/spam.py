@@ -221,7 +221,8 @@ def score_pages(feats: DataFrame, models: dict[str, Model]) -> DataFrame:
     norm = F.sqrt(F.aggregate(z, zero, lambda t, v: t + v * v) * N)
     spamward = F.coalesce(F.try_divide(F.aggregate(z, zero, lambda t, v: t + v), norm), zero)
     out = x.withColumn("distance", F.coalesce(distance, zero)).withColumn("spamward", spamward)
-    return out.withColumn("is_spam", (F.col("distance") > FAR) & (F.col("spamward") > TOWARD)).drop("_centre", "_inverse", "_width", "_d", "_z")
+    spam = (F.col("distance") > FAR) & (F.col("spamward") > TOWARD)
+    return out.select(*[c for c in feats.columns if c not in ("distance", "spamward", "is_spam")], "distance", "spamward", spam.alias("is_spam"))
 
 
 def robust_models(feats: DataFrame) -> dict[str, Model]:
