@@ -20,11 +20,11 @@ FEW = 1 << BITS
 
 
 def _levels(lo: int | None, hi: int | None) -> int:
-    """Levels above the single values until one bin (or two, about a border) holds the whole range."""
+    """Levels above the single values until the whole range is no more bins than a bin has children."""
     if lo is None or hi is None:
-        return 1
-    n = 1
-    while (hi >> (BITS * n)) - (lo >> (BITS * n)) > 1:
+        return 0
+    n = 0
+    while (hi >> (BITS * n)) - (lo >> (BITS * n)) >= 1 << BITS:
         n += 1
     return n
 
@@ -40,18 +40,20 @@ def key_quantiles(df: DataFrame, key: str, value: str, permille: list[int], min_
     scratch = Scratch(df.sparkSession)
     bins = df.select(F.col(key).alias("key"), F.col(value).cast("bigint").alias("bin")).groupBy("key", "bin").agg(F.count(F.lit(1)).alias("c"))
     counts = scratch.write(bins)  # read once for each level, so written once
-    total, lo, hi = counts.agg(F.sum("c"), F.min(F.when(F.col("key").isNotNull(), F.col("bin"))), F.max(F.when(F.col("key").isNotNull(), F.col("bin")))).first()
-    named = counts.filter("key is not null")
-    root = scratch.write(named.groupBy("key").agg(F.sum("c").alias("n_rows"), F.sum(F.when(F.col("bin").isNotNull(), F.col("c")).otherwise(0)).alias("n_values"), F.count("bin").alias("n_bins")))
-    kept = root.filter(F.col("n_rows") >= F.lit(min_share * (total or 0))).select("key", "n_rows", "n_values")
+    valued = F.col("bin").isNotNull()
+    root = scratch.write(counts.groupBy("key").agg(
+        F.sum("c").alias("n_rows"), F.sum(F.when(valued, F.col("c")).otherwise(0)).alias("n_values"), F.count("bin").alias("n_bins"), F.min("bin").alias("lo"), F.max("bin").alias("hi")))
+    many = F.col("key").isNotNull() & (F.col("n_bins") > FEW)
+    total, n_hot, lo, hi = root.agg(F.sum("n_rows"), F.count_if(many), F.min(F.when(many, F.col("lo"))), F.max(F.when(many, F.col("hi")))).first()
+    kept = root.filter(F.col("key").isNotNull() & (F.col("n_rows") >= F.lit(min_share * (total or 0)))).select("key", "n_rows", "n_values")
     if not permille:
         return kept
-    valued = named.filter("bin is not null")
-    hot = root.filter(F.col("n_bins") > FEW)
-    picks = lambda at: [F.max(F.when(F.col("p") == p, F.col(at))).alias(f"q{p}") for p in permille]
-    found = _few(valued.join(hot.select("key"), "key", "left_anti"), permille).unionByName(
-        _refined(valued.join(hot.select("key"), "key", "left_semi"), hot, permille, _levels(lo, hi), scratch).groupBy("key").agg(*picks("parent")))
-    return kept.join(found, "key", "left")
+    counts, hot = counts.filter(F.col("key").isNotNull() & valued), root.filter(many)
+    if not n_hot:
+        return kept.join(_few(counts, permille), "key", "left")
+    refined = _refined(counts.join(hot.select("key"), "key", "left_semi"), hot, permille, _levels(lo, hi), scratch)
+    values = refined.groupBy("key").agg(*[F.max(F.when(F.col("p") == p, F.col("parent"))).alias(f"q{p}") for p in permille])
+    return kept.join(_few(counts.join(hot.select("key"), "key", "left_anti"), permille).unionByName(values), "key", "left")
 
 
 def _rank(n, p: int):
@@ -77,7 +79,7 @@ def _refined(counts: DataFrame, hot: DataFrame, permille: list[int], height: int
             bins = bins.withColumn("parent", F.shiftright("bin", BITS)).join(path, ["key", "parent"], "left_semi")
         bins = bins.groupBy("key", "bin").agg(F.sum("c").alias("c")).withColumn("above", F.shiftright("bin", BITS))
         on = (F.col("s.key") == F.col("b.key")) & (F.lit(True) if level == height else F.col("s.parent") == F.col("b.above"))
-        w = Window.partitionBy("key", "p").orderBy("bin")  # at most 4096 bins, two at the top
+        w = Window.partitionBy("key", "p").orderBy("bin")  # at most 4096 bins
         seen = state.alias("s").join(bins.alias("b"), on).select("s.key", "p", "rank", "bin", "c").withColumn("upto", F.sum("c").over(w))
         state = scratch.write(seen.filter("upto > rank and upto - c <= rank").select(
             "key", "p", (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank"), F.col("bin").alias("parent")))
