@@ -11,6 +11,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.communities import in_one_task
 from quern.operators.ranking import global_rank
 from quern.session import Scratch
 
@@ -257,24 +258,32 @@ def nested_neighbours(edges: DataFrame, roots: DataFrame, a: int, b: int) -> Dat
     return x.join(y, "first", "left").select("root", "first", "second")
 
 
-def louvain(edges: DataFrame, scratch: Scratch | None = None, rounds: int = 20, sweeps: int = 200, eps: float = 1e-7) -> DataFrame:
+def louvain(edges: DataFrame, scratch: Scratch | None = None, rounds: int = 20, sweeps: int = 200, eps: float = 1e-7, within: int = 4_000_000) -> DataFrame:
     """(node, community): communities of the undirected graph in which each directed edge weighs 1.
 
-    Distributed local moving: in a sweep every node looks at the communities of its neighbours and takes the one with
-    the best gain; half of the nodes, by a hash, may move at a time, which keeps neighbours from swapping, and then the
-    other half. A level ends when no node gains by a move, or when two sweeps of both halves have not raised the best
+    As soon as a level has no more than ``within`` pairs of neighbours, the first one included, one task on an executor
+    runs all that is left over arrays (``communities.py``), node after node until no node gains, and then again from the
+    first of its levels until that brings nothing either; no round of Spark is spent on a sweep there.
+
+    Larger levels, by distributed local moving: in a sweep every node looks at the communities of its neighbours and
+    takes the one with the best gain; half of the nodes, by a hash, may move at a time, which keeps neighbours from
+    swapping, and then the other half. A level ends when no node gains by a move, or when two sweeps of both halves have not raised the best
     modularity by ``eps``; the best communities become the nodes of the next level. ``sweeps`` halves a level and
     ``rounds`` levels are caps: a warning says so where one ends the run.
     Community numbers are the smallest node in each. Self-loops are left out; nodes without edges have no row."""
     scratch = scratch or Scratch(edges.sparkSession)
-    half = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    half = scratch.write(edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    if half.count() <= within:
+        return _louvain_in_one_task(half, scratch, 0, rounds, sweeps, eps)
     g = scratch.write(half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-    m2 = g.agg(F.sum("w")).first()[0] or 0.0
+    m2 = g.agg(F.sum("w")).first()[0]
     label = scratch.write(g.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
-    if not m2:
-        return label
     best = -1.0
     for level in range(rounds):
+        if level and g.filter("a < b").count() <= within:
+            up = _louvain_in_one_task(g.filter("a <= b"), scratch, level, rounds - level, sweeps, eps)
+            label = scratch.write(label.join(up.select(F.col("node").alias("community"), F.col("community").alias("c")), "community").select("node", F.col("c").alias("community")))
+            break
         nodes = g.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
         state = scratch.write(nodes.withColumn("c", F.col("node")))
         q_level, top, idle = None, state, 0
@@ -319,6 +328,18 @@ def louvain(edges: DataFrame, scratch: Scratch | None = None, rounds: int = 20,
     return label.join(names, "community").select("node", F.col("name").alias("community"))
 
 
+def _louvain_in_one_task(pairs: DataFrame, scratch: Scratch, level: int, rounds: int, sweeps: int, eps: float) -> DataFrame:
+    """(node, community) of the pairs ``(a <= b, w)`` of a level; warns as ``louvain`` does."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    rows = scratch.write(pairs.coalesce(1).mapInArrow(in_one_task(rounds, sweeps, eps), f"node {kind}, community {kind}, level int, q double"))
+    for cut in rows.filter("node is null").collect():
+        if cut["level"] < 0:
+            warnings.warn(f"louvain: cut at {rounds + level} levels, modularity {cut['q']}", stacklevel=3)
+        else:
+            warnings.warn(f"louvain: level {cut['level'] + level} was cut at {sweeps} half sweeps, modularity {cut['q']}", stacklevel=3)
+    return rows.filter("node is not null").select("node", "community")
+
+
 def modularity(edges: DataFrame, label: DataFrame) -> float:
     e = edges.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -176,6 +176,76 @@ def test_louvain_settles_and_says_when_it_is_cut(spark, recwarn):
         G.louvain(e, sweeps=2)
 
 
+def planted(groups, size, inner, outer, seed):
+    """Pairs of nodes 7, 10, 13, ... in groups of ``size``, some in both directions."""
+    rng = np.random.default_rng(seed)
+    n = groups * size
+    a = rng.integers(0, n, inner)
+    pairs = np.concatenate([np.stack([a, a // size * size + rng.integers(0, size, inner)], 1), rng.integers(0, n, (outer, 2))])
+    return [(int(x) * 3 + 7, int(y) * 3 + 7) for x, y in np.unique(pairs, axis=0)]
+
+
+def gain_left(pairs, label):
+    """The most modularity that a move of one node to a neighbour's community would bring."""
+    w, k, tot = {}, {}, {}
+    for a, b in pairs:
+        if a != b:
+            for x, y in ((a, b), (b, a)):
+                w.setdefault(x, {})
+                w[x][label[y]] = w[x].get(label[y], 0) + 1
+                k[x] = k.get(x, 0) + 1
+                tot[label[x]] = tot.get(label[x], 0) + 1
+    m2 = sum(k.values())
+    at = lambda x, c: w[x].get(c, 0) - (tot[c] - (k[x] if c == label[x] else 0)) * k[x] / m2
+    return max(at(x, c) - at(x, label[x]) for x in w for c in w[x]) * 2 / m2
+
+
+def test_louvain_of_a_graph_that_fits_a_task_takes_few_jobs_and_leaves_no_gain(spark):
+    pairs = planted(30, 40, 9000, 3000, 3)
+    e = edges(spark, pairs)
+    spark.sparkContext.setJobGroup("louvain", "louvain")
+    try:
+        label = G.louvain(e)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("louvain"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 10, "rounds of Spark per sweep"
+    got = as_dict(label, "node", "community")
+    assert set(got) == {x for p in pairs for x in p if p[0] != p[1]}
+    least = {}
+    for node, c in got.items():
+        least[c] = min(node, least.get(c, node))
+    assert all(c == node for c, node in least.items())
+    assert gain_left(pairs, got) < 1e-7
+    want = settled(pairs)
+    q = lambda x: G.modularity(e, spark.createDataFrame(list(x.items()), "node bigint, community bigint"))
+    assert q(got) >= q(want)
+
+
+def test_louvain_is_the_same_in_any_order_and_partitions(spark):
+    pairs = planted(8, 20, 1200, 500, 4)
+    once = as_dict(G.louvain(edges(spark, pairs)), "node", "community")
+    assert once == as_dict(G.louvain(edges(spark, pairs[::-1]).repartition(5)), "node", "community")
+
+
+def test_louvain_of_hubs_and_weighted_pairs(spark):
+    """Two hubs of 600, beyond where arrays replace dictionaries, their members tied in both directions."""
+    pairs = [(h, h * 1000 + i) for h in (1, 2) for i in range(600)] + [(h * 1000 + i, h) for h in (1, 2) for i in range(600)] + [(1000 + i, 2000 + i) for i in range(50)]
+    got = as_dict(G.louvain(edges(spark, pairs)), "node", "community")
+    assert got == {x: 1 if x == 1 or x // 1000 == 1 else 2 for p in pairs for x in p}
+
+
+@pytest.mark.parametrize("within", [0, 300])
+def test_louvain_of_levels_too_large_for_a_task(spark, within):
+    """Sweeps over DataFrames for all levels, or until a level has 300 pairs and a task runs the rest."""
+    pairs = planted(12, 20, 2000, 500, 5)
+    e = edges(spark, pairs)
+    label = G.louvain(e, within=within)
+    got = as_dict(label, "node", "community")
+    assert set(got) == {x for p in pairs for x in p if p[0] != p[1]} and all(got[c] == c and c <= n for n, c in got.items())
+    assert G.modularity(e, label) > G.modularity(e, G.louvain(e)) - 0.01
+
+
 def test_louvain_without_edges(spark):
     assert G.louvain(edges(spark, [(1, 1)])).count() == 0
 
